@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,8 +30,10 @@ def chain(a: DataFrame, a_pos: str, b: DataFrame, b_pos: str, n: int) -> DataFra
 
 def both(left: Callable[[], Any], right: Callable[[], Any]) -> tuple[Any, Any]:
     """Runs two jobs side by side and returns both results; an error of either is raised after both ended."""
+    session = SparkSession.getActiveSession()
+    inherit = inheritable_thread_target(session) if session else lambda f: f
     with ThreadPoolExecutor(2) as pool:
-        a, b = pool.submit(inheritable_thread_target(left)), pool.submit(inheritable_thread_target(right))
+        a, b = pool.submit(inherit(left)), pool.submit(inherit(right))
     return a.result(), b.result()
 
 

@@ -611,7 +611,7 @@ def tree_stats(spark, sf):
     return numeric.tree_stats(spark, 10)
 
 
-@query("WITH RECURSIVE t(at, seen, cost, k) AS (SELECT 0, 1, 0, 1 UNION ALL SELECT c, seen | (1 << c), cost + abs(at - c) * 10 + (at + c) % 5, k + 1 FROM t, (SELECT CAST(i AS INT) AS c FROM range(0, 5) r(i)) WHERE (seen & (1 << c)) = 0 AND k < 5) SELECT CAST(min(cost + at * 10 + at % 5) AS INT) AS cost FROM t WHERE k = 5")
+@query("WITH RECURSIVE t(p, seen, cost, k) AS (SELECT 0, 1, 0, 1 UNION ALL SELECT c, seen | (1 << c), cost + abs(p - c) * 10 + (p + c) % 5, k + 1 FROM t, (SELECT CAST(i AS INT) AS c FROM range(0, 5) r(i)) WHERE (seen & (1 << c)) = 0 AND k < 5) SELECT CAST(min(cost + p * 10 + p % 5) AS INT) AS cost FROM t WHERE k = 5")
 def tour(spark, sf):
     return numeric.tour_cost(spark, 5).select(F.col("cost").cast("int").alias("cost"))
 

@@ -47,13 +47,17 @@ _ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label|hidden|aria-hidden|st
 
 
 def learn_weights(pages: tuple[str, ...] = LABELLED, smooth: float = 1.0, least: float = 0.05) -> dict[str, float]:
-    """Tag -> negative score: the log odds of meeting it inside an article, at most -least."""
-    inside, outside = Counter(), Counter()
+    """Tag -> negative score: the log odds of meeting it inside an article, at most -least. Tags of skipped parts score nothing and don't count."""
+    counts = (Counter(), Counter())
     for page in pages:
-        before, article, after = page.split("|")
-        for part, count in ((before, outside), (article, inside), (after, outside)):
-            count.update(m[2].lower() for m in _TAG.finditer(part) if m[2])
-    return {t: min(-least, math.log((inside[t] + smooth) / (outside[t] + smooth))) for t in sorted(inside | outside)}
+        inside = 0
+        for tag, _, skipped in _tokens(page.replace("|", "<bar>"), True):
+            if tag == "bar":
+                inside = 1 - inside
+            elif tag and not skipped:
+                counts[inside][tag] += 1
+    outside, within = counts
+    return {t: min(-least, math.log((within[t] + smooth) / (outside[t] + smooth))) for t in sorted(within | outside)}
 
 
 def _marked(attributes: str) -> bool:

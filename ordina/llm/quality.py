@@ -65,8 +65,8 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, batch: int = 128, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss. No rows, or one class only, give the constant share of label 1."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 8, examples: int = 96_000, rate: float = 0.1, decay: float = 1e-5, batch: int = 128, seed: int = 7) -> Machine:
+    """Adagrad on the logistic loss over some ``examples``, in 1 to 30 passes over the rows. No rows, or one class only, give the constant share of label 1."""
     labels = np.array([y for _, _, y in rows], np.float64)
     p = (labels.sum() + 1) / (len(labels) + 2)
     m = Machine(float(np.log(p / (1 - p))), np.zeros(SIZE), np.zeros((SIZE, rank)))
@@ -75,7 +75,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 8, epochs: i
     rng = np.random.default_rng(seed)
     m.factors = rng.normal(0, 0.05, (SIZE, rank))
     seen_w, seen_v, seen_b = np.full(SIZE, 1e-6), np.full((SIZE, rank), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(min(30, max(1, examples // len(rows)))):
         order = rng.permutation(len(rows))
         for i in range(0, len(rows), batch):
             some = order[i : i + batch]

@@ -8,7 +8,7 @@ output with the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordina.llm import mixing, quality
@@ -43,8 +43,6 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if repeated.isEmpty():
         return left
     rank, hit = fresh([*docs.columns, id_], "_rank", "_hit")
-    from pyspark.sql import Window
-
     flagged = left.join(repeated.withColumn(hit, F.lit(1)), F.col("doc_id") == F.col(id_), "left")
     once = flagged.where(F.col(hit) == 1).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(rank) == 1)
     return flagged.where(F.col(hit).isNull()).select(*docs.columns).unionAll(once.select(*docs.columns))

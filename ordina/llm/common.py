@@ -1,74 +1,15 @@
-"""Shared pieces of the corpus operators: scratch tables, names, keys and words."""
+"""Shared pieces of the corpus operators: names, keys and words."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ordina.plans.scratch import delete_path, discard, materialise, scratch_path, scratch_root
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one.  Only where that
-    is unset a folder is chosen here: a local one in local mode (driver and
-    executors are one process), else one below the warehouse.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        named = "file://" + tempfile.mkdtemp(prefix="ordina-")
-    else:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/ordina-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and each reader prunes columns."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._ordina_path = path
-    return out
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes materialised tables that no later plan reads."""
-    for t in tables:
-        if path := getattr(t, "_ordina_path", None):
-            delete_path(t.sparkSession, path)
-            _written[:] = [(s, p) for s, p in _written if p != path]
-
-
-@atexit.register
-def _discard_all() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete_path(spark, path)
-        except Exception:  # the JVM may be gone; the cluster's own clean-up then has the folder
-            return
+__all__ = ["delete_path", "discard", "fold_of", "fresh", "lower_words", "materialise", "row_key", "scratch_path", "scratch_root", "table"]
 
 
 def fresh(taken: Iterable[str], *names: str) -> list[str]:

@@ -24,7 +24,7 @@ def brute(rows, least):
             late.append(u in seen)
             seen.add(u)
         starts = [s for s, _ in own] + [len(text)]
-        kept, i, last = text[: starts[0]] if own else text, 0, 0
+        kept, i = text[: starts[0]] if own else text, 0
         while i < len(own):
             j = i
             while j < len(own) and late[j] == late[i]:
@@ -33,7 +33,6 @@ def brute(rows, least):
                 kept += text[starts[i] : starts[j]]
             i = j
         out[doc] = kept
-        del last
     return out
 
 

@@ -42,8 +42,6 @@ def test_rank_equals_plain_iteration(spark):
         moved = {}
         for s, d in edges:
             moved[d] = moved.get(d, 0) + 0.85 * now.get(s, 0) / sum(x == s for x, _ in edges)
-        for h in ("a", "d"):
-            moved[h] = moved.get(h, 0) + (1 - sum(v for k, v in moved.items())) * 0 if False else moved.get(h, 0)
         rest = 1 - sum(moved.values())
         now = {h: moved.get(h, 0) + (0.5 * rest if h in ("a", "d") else 0) for h in {*moved, "a", "d"}}
     assert got.keys() == now.keys() and all(abs(got[h] - now[h]) < 1e-12 for h in now) and abs(sum(got.values()) - 1) < 1e-12

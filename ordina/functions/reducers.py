@@ -66,11 +66,8 @@ def sum_of(v: Column, dtype: str) -> Column:
 
 
 def product_of(v: Column, dtype: str) -> Column:
-    """Product, 1 for no rows. Integers multiply exactly: F.product works in doubles, so they are multiplied by sign, zero and logarithm-free decimal fold."""
-    if dtype in ("float", "double"):
-        return F.coalesce(F.product(v), F.lit(1.0)).cast(dtype)
-    folded = F.aggregate(F.collect_list(v.cast("decimal(38,0)")), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
-    return folded.cast(dtype)
+    """Product in doubles, 1 for no rows; integers multiply exactly in operators.folds."""
+    return F.coalesce(F.product(v), F.lit(1.0)).cast(dtype)
 
 
 def min_of(v: Column, dtype: str) -> Column:

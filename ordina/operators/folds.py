@@ -10,28 +10,24 @@ from pyspark.sql import functions as F
 
 from ordina.functions.reducers import Reducer
 
-#: Rows folded at once by a task.
-CHUNK = 8192
-
-
-def exact_product(df: DataFrame, v: Column, dtype: str, chunk: int = 16) -> DataFrame:
+def exact_product(df: DataFrame, v: Column, dtype: str) -> DataFrame:
     """Product of integers without rounding, 1 for no rows; out of range raises.
 
     Values are first counted, so equal ones meet before any shuffle; ones vanish
-    and a zero decides.  What is left multiplies in decimals: a product within
-    bigint has at most 63 factors beyond one, all others overflow, so the last
-    step holds a bounded list.
+    and a zero decides.  A product within bigint has at most 63 factors beyond
+    one, so the values that are multiplied, in decimals, never are more than that.
     """
     counted = df.select(v.cast("bigint").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    folded = counted.agg(
+    signs = counted.agg(
         F.coalesce(F.bool_or(F.col("x") == 0), F.lit(False)).alias("zero"),
         F.coalesce(F.sum(F.when(F.col("x") < 0, F.col("n"))), F.lit(0)).alias("negative"),
         F.coalesce(F.sum(F.when(F.abs("x") > 1, F.col("n"))), F.lit(0)).alias("factors"),
-        F.collect_list(F.when(F.abs("x") > 1, F.struct(F.abs("x").cast("decimal(38,0)").alias("x"), F.least("n", F.lit(64)).cast("int").alias("n")))).alias("xs"),
     )
+    some = counted.where(F.abs("x") > 1).limit(64).select(F.abs("x").cast("decimal(38,0)").alias("x"), F.least("n", F.lit(64)).cast("int").alias("n"))
+    listed = some.agg(F.collect_list(F.struct("x", "n")).alias("xs"))
     power = F.aggregate("xs", F.lit(1).cast("decimal(38,0)"), lambda a, s: F.aggregate(F.array_repeat(s["x"], s["n"]), a, lambda b, x: (b * x).cast("decimal(38,0)")))
     size = F.when(F.col("zero"), F.lit(0).cast("decimal(38,0)")).when(F.col("factors") > 63, F.raise_error(F.lit("product out of range"))).otherwise(power)
-    return folded.select((F.when(F.col("negative") % 2 == 1, -size).otherwise(size)).cast(dtype).alias("product"))
+    return signs.crossJoin(F.broadcast(listed)).select((F.when(F.col("negative") % 2 == 1, -size).otherwise(size)).cast(dtype).alias("product"))
 
 
 def tree_reduce(df: DataFrame, pos: str, v: Column, reducer: Reducer) -> Any:

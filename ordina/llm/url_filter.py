@@ -88,7 +88,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def seeds(share: str) -> DataFrame:
         some = shares.where(F.col(share) > 0.5)
-        return some.crossJoin(F.broadcast(some.agg(F.count(F.lit(1)).alias("n")))).select(F.col("_host").alias("host"), (F.lit(1.0) / F.col("n")).alias("mass"))
+        return some.select(F.col("_host").alias("host"), F.lit(1.0 / max(1, some.count())).alias("mass"))
 
     trust = personalised_pagerank(links, seeds("good")).select(F.col("host"), F.col("score").alias("trust"))
     distrust = personalised_pagerank(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds("bad")).select(F.col("host"), F.col("score").alias("distrust"))

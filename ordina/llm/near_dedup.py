@@ -132,14 +132,17 @@ def _sets(cfg: MinHash) -> Callable:
     return run
 
 
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirm(cfg: MinHash) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= cfg.percent * (len(p) + len(q) - both))
+                keep.append(_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), cfg.percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -147,38 +150,50 @@ def _confirm(cfg: MinHash) -> Callable:
 
 
 def _across(cfg: MinHash) -> Callable:
-    """Within each run of rows of equal (key, i, j): pairs of different components with similar signatures."""
+    """Links between different components among each run of rows of equal (key, i, j), confirmed on full sets.
+
+    A pair that shares several bands is looked at under the first of them only,
+    and no more once the run has joined its components; pairs with the bucket's
+    pivot were looked at before.
+    """
     least = cfg.percent / 100 - cfg.slack
 
-    def pairs(rows: list) -> Iterator[tuple[int, int]]:
-        ids, comp, part = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        pivot = rows[0][4]
+    def links(rows: list) -> Iterator[tuple[int, int]]:
+        ids, comp, part, sizes = (np.array(x, np.int64) for x in ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [len(r[4]) for r in rows]))
+        band, pivot = rows[0][5], rows[0][6]
         sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
+        by_band = sig[:, : cfg.bands * cfg.rows].reshape(len(rows), cfg.bands, cfg.rows)
         diagonal = (part == part[0]).all()
         for p in range(len(rows)):
             if ids[p] == pivot or (not diagonal and part[p] != part.min()):
                 continue
-            other = (comp != comp[p]) & (ids != pivot) & ((np.arange(len(rows)) > p) if diagonal else (part != part[p]))
-            near = np.flatnonzero(other)
+            near = np.flatnonzero((comp != comp[p]) & (ids != pivot) & ((np.arange(len(rows)) > p) if diagonal else (part != part[p])))
+            near = near[100 * np.minimum(sizes[near], sizes[p]) >= cfg.percent * np.maximum(sizes[near], sizes[p])]
             near = near[(sig[near] == sig[p]).mean(1) >= least]
+            if band and len(near):
+                near = near[~(by_band[near, :band] == by_band[p, :band]).all(2).any(1)]
+            own = np.frombuffer(rows[p][4], np.uint64)
             for q in near:
-                yield min(ids[p], ids[q]), max(ids[p], ids[q])
+                if comp[q] != comp[p] and _similar(own, np.frombuffer(rows[q][4], np.uint64), cfg.percent):
+                    yield max(ids[p], ids[q]), min(ids[p], ids[q])
+                    comp[comp == comp[q]] = comp[p]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = sorted(set(pairs(rows))) if len(rows) > 1 else []
-            if found:
-                yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            if found := list(links(rows)) if len(rows) > 1 else []:
+                yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "comp", "part", "sig", "pivot")]
-            for k, i, j, *row in zip(*cols, strict=True):
-                if (k, i, j) != key:
-                    yield from flush()
-                    key, rows = (k, i, j), []
-                rows.append(row)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                cols = [some.column(c).to_pylist() for c in ("key", "i", "j", "id", "comp", "part", "sig", "shingles", "band", "pivot")]
+                for k, i, j, *row in zip(*cols, strict=True):
+                    if (k, i, j) != key:
+                        yield from flush()
+                        key, rows = (k, i, j), []
+                    rows.append(row)
         yield from flush()
 
     return run
@@ -236,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def bands() -> DataFrame:
         width = 4 * cfg.rows
         keys = F.array(*(F.xxhash64(F.lit(i), F.substring(F.col("sig"), i * width + 1, width)) for i in range(cfg.bands)))
-        return reps.select("rep", F.explode(keys).alias("key"))
+        return reps.select("rep", F.posexplode(keys).alias("band", "key"))
 
     # An id with several texts joins their classes.
     repeated = some.groupBy("id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1").select("id")
@@ -244,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bridged = ids.join(ids.groupBy("id").agg(F.min("rep").alias("v")), "id").select(F.col("rep").alias("u"), "v").where("u <> v")
 
     shared = bands().groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
-    buckets = materialise(bands().join(shared, "key").select("key", "pivot", "rep"), "buckets")
+    buckets = materialise(bands().join(shared, "key").select("key", "band", "pivot", "rep"), "buckets")
     stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     signed = stars.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
     likely = materialise(signed.select("a", "b", "sa", "sb").mapInArrow(agreement("a", "b", cfg.percent / 100 - cfg.slack), "a bigint, b bigint"), "likely")
@@ -255,17 +270,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = buckets.join(first.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("size > 2 and c1 < c2").select("key", "size")
     block = 256
-    unsettled = labelled.join(open_keys, "key").join(reps.select("rep", "sig"), "rep")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    unsettled = unsettled.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    unsettled = unsettled.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    unsettled = unsettled.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("rep").alias("id"), "comp", "part", "sig", "pivot")
-    across = unsettled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_across(cfg), "a bigint, b bigint").distinct()
-    late = materialise(across, "across")
-    if late.isEmpty():
-        final = first
-    else:
-        final = connected_components(first.unionAll(_confirmed(docs, id_col, text_col, late, cfg)))
+    unsettled = materialise(labelled.join(open_keys, "key").select("key", "band", "pivot", "rep", "comp", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "unsettled")
+    final = first
+    if not unsettled.isEmpty():
+        sets = _shingle_sets(docs, id_col, text_col, unsettled.select(F.col("rep").alias("id")).distinct(), cfg)
+        placed = unsettled.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumnRenamed("rep", "id")
+        full = placed.join(reps.select(F.col("rep").alias("id"), "sig"), "id").join(sets, "id")
+        full = full.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "comp", "part", "sig", "shingles", "band", "pivot")
+        late = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_across(cfg), "u bigint, v bigint").distinct()
+        late = materialise(late, "late")
+        discard(sets)
+        if not late.isEmpty():
+            final = connected_components(first.unionAll(late))
 
     comp = final.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
     out = sketches.select("id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(comp, "rep", "left")
@@ -273,12 +290,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, cfg: MinHash) -> DataFrame:
+    """id and full shingle set (64-bit hashes) of the documents of these ids."""
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    ids = materialise(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return materialise(src.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(cfg), "id bigint, shingles binary"), "sets")
+
+
 def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, cfg: MinHash) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough, as links (u, v)."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    src = src.join(F.broadcast(ids) if pairs.count() <= BROADCAST_IDS // 2 else ids, "id", "left_semi")
-    sets = materialise(src.mapInArrow(_sets(cfg), "id bigint, shingles binary"), "sets")
+    sets = _shingle_sets(docs, id_col, text_col, ids, cfg)
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
     out = materialise(full.select("a", "b", "xa", "xb").mapInArrow(_confirm(cfg), "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")), "confirmed")
     discard(sets)

@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets that still hold several components: compare across them.
     labelled = buckets.join(first.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("size > 2 and c1 < c2").select("key", "size")
-    block = 256
+    block = 1024  # members of a block meet those of each other block, so larger ones mean fewer copies of a row
     unsettled = materialise(labelled.join(open_keys, "key").select("key", "band", "pivot", "rep", "comp", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "unsettled")
     final = first
     if not unsettled.isEmpty():

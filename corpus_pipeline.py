@@ -49,9 +49,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; n_chars follows. A document all of which is repeated goes."""
+    """Cuts repeated passages and repeated whole lines out of the texts; n_chars follows. A document all of which is repeated goes."""
     (outcome,) = fresh(docs.columns, "dedup")
-    cut = dedup_substrings(docs, outcome=outcome)
+    cut = dedup_substrings(docs, outcome=outcome, whole_lines=True)
     emptied = (F.col(outcome)["n_removed"] > 0) & (F.trim("text") == "")
     length = [F.when(F.col(outcome)["n_removed"] > 0, F.length("text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cut.where(~F.coalesce(emptied, F.lit(False))).select(*length)

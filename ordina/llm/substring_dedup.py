@@ -4,8 +4,9 @@ A unit is a line or, within a line, a clause: a line is also cut after sentence
 and clause punctuation that a space follows, so a passage copied into the middle
 of another line is still found.  Digests are grouped over the whole corpus; the
 earliest ranked occurrence of each stays.  A document loses a run of consecutive
-repeated units if the run has at least ``min_words`` words; short repeats that
-occur by chance stay.
+repeated units if the run has at least ``min_words`` words; shorter runs of
+repeated units stay.  With ``whole_lines`` a whole line that occurs as a line
+earlier goes however short it is, and the words count for parts of lines alone.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ordina.llm.common import fresh, row_key
 ENDS = (".", "!", "?", ",", ";", ":")
 #: Digests that a task remembers in order to send a frequent one only once; a bound on memory, without effect on results.
 MEMO = 200_000
+#: Added to the number of a line's first unit where the line as a whole is meant.
+LINE = 1 << 30
 
 
 def units(text: str) -> Iterator[tuple[int, list[bytes]]]:
@@ -37,43 +40,60 @@ def units(text: str) -> Iterator[tuple[int, list[bytes]]]:
         start += len(unit) + 1
 
 
+def lines(text: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+    """First unit and end of each line with words, from the units' starts: the first unit with words is at the line's start."""
+    first = [i for i, s in enumerate(starts) if s == 0 or text[s - 1] == "\n"]
+    return zip(first, [*first[1:], len(starts)], strict=False)
+
+
 _UNITS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("later", pa.bool_())])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each unit; ``later`` marks one of which this task has sent an earlier occurrence."""
-    first: dict[bytes, tuple] = {}
-    for batch in batches:
-        for part in range(0, batch.num_rows, 512):  # bounds what is held as Python objects
-            some = batch.slice(part, 512)
-            ids, rows, unit, digest, later = [], [], [], [], []
-            for doc, row, text in zip(some.column("id").to_pylist(), some.column("row").to_pylist(), some.column("text").to_pylist(), strict=True):
-                for i, (_, words) in enumerate(units(text or "")):
-                    d = xxhash.xxh3_128_digest(b" ".join(words))
-                    rank = (doc is None, doc or 0, row, i)
-                    known = first.get(d)
-                    seen = known is not None and known < rank
-                    if not seen and (known is not None or len(first) < MEMO):
-                        first[d] = rank
-                    ids.append(doc)
-                    rows.append(row)
-                    unit.append(i)
-                    digest.append(d)
-                    later.append(seen)
-            halves = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digest), [None, pa.py_buffer(b"".join(digest))])
-            words = pa.Array.from_buffers(pa.int64(), 2 * len(digest), [None, halves.buffers()[1]])
-            even = pa.array(range(0, 2 * len(digest), 2), pa.int64())
-            k1, k2 = words.take(even), words.take(pa.array(range(1, 2 * len(digest), 2), pa.int64()))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(unit, pa.int32()), k1, k2, pa.array(later, pa.bool_())], schema=_UNITS)
-
-
-def repeated_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _digests(whole_lines: bool) -> Callable:
+    """A row for each unit, and for each line if asked for; ``later`` marks one of which this task has sent an earlier occurrence."""
+
+    def digests(text: str) -> Iterator[tuple[int, bytes]]:
+        own = list(units(text))
+        for i, (_, words) in enumerate(own):
+            yield i, xxhash.xxh3_128_digest(b" ".join(words))
+        for i, j in lines(text, [s for s, _ in own]) if whole_lines else ():
+            yield LINE + i, xxhash.xxh3_128_digest(b" ".join(w for _, words in own[i:j] for w in words), seed=1)  # never met by a unit's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple] = {}
+        for batch in batches:
+            for part in range(0, batch.num_rows, 512):  # bounds what is held as Python objects
+                some = batch.slice(part, 512)
+                ids, rows, unit, digest, later = [], [], [], [], []
+                for doc, row, text in zip(some.column("id").to_pylist(), some.column("row").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    for i, d in digests(text or ""):
+                        rank = (doc is None, doc or 0, row, i)
+                        known = first.get(d)
+                        seen = known is not None and known < rank
+                        if not seen and (known is not None or len(first) < MEMO):
+                            first[d] = rank
+                        ids.append(doc)
+                        rows.append(row)
+                        unit.append(i)
+                        digest.append(d)
+                        later.append(seen)
+                halves = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digest), [None, pa.py_buffer(b"".join(digest))])
+                words = pa.Array.from_buffers(pa.int64(), 2 * len(digest), [None, halves.buffers()[1]])
+                even = pa.array(range(0, 2 * len(digest), 2), pa.int64())
+                k1, k2 = words.take(even), words.take(pa.array(range(1, 2 * len(digest), 2), pa.int64()))
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(unit, pa.int32()), k1, k2, pa.array(later, pa.bool_())], schema=_UNITS)
+
+    return run
+
+
+def repeated_units(docs: DataFrame, id_col: str, text_col: str, whole_lines: bool = False) -> DataFrame:
     """id, row and the numbers of the document's units that occur earlier in the corpus.
 
-    Ranked by id (nulls last), then row digest, then position.
+    Ranked by id (nulls last), then row digest, then position.  With ``whole_lines``
+    also LINE plus its first unit's number for each line that occurs earlier as one.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    found = src.mapInArrow(_digests, "id bigint, row bigint, unit int, k1 bigint, k2 bigint, later boolean")
+    found = src.mapInArrow(_digests(whole_lines), "id bigint, row bigint, unit int, k1 bigint, k2 bigint, later boolean")
     # What a task already knows to be later only passes through, dealt by its own place: a frequent unit arrives once a task.
     key = [F.when(F.col("later"), F.xxhash64("id", "row", "unit")).otherwise(F.col("k1")).alias("k1"), F.when(F.col("later"), F.lit(0)).otherwise(F.col("k2")).alias("k2")]
     dealt = found.select("id", "row", "unit", "later", *key)
@@ -92,20 +112,27 @@ def _remover(min_words: int) -> Callable:
         if not late:
             return {"text": text, "n_units": len(own), "n_removed": 0, "spans": []}
         starts = [s for s, _ in own] + [len(text)]
-        late, spans, gone, i = set(late), [], 0, 0
+        late, spans, gone, i = set(late), [], set(), 0
         while i < len(own):
             j = i
             while j < len(own) and j in late:
                 j += 1
             if j > i and sum(n for _, n in own[i:j]) >= min_words:
-                spans.append({"start": starts[i], "end": starts[j]})
-                gone += j - i
+                gone.update(range(i, j))
             i = max(j, i + 1)
+        for i, j in lines(text, starts[:-1]):
+            if LINE + i in late:
+                gone.update(range(i, j))
+        for i in sorted(gone):
+            if spans and i - 1 in gone:
+                spans[-1]["end"] = starts[i + 1]
+            else:
+                spans.append({"start": starts[i], "end": starts[i + 1]})
         kept, at = [], 0
         for s in spans:
             kept.append(text[at : s["start"]])
             at = s["end"]
-        return {"text": "".join(kept) + text[at:], "n_units": len(own), "n_removed": gone, "spans": spans}
+        return {"text": "".join(kept) + text[at:], "n_units": len(own), "n_removed": len(gone), "spans": spans}
 
     def run(text: pa.Array, late: pa.Array) -> pa.Array:
         return pa.array([one(t.as_py(), x.as_py()) for t, x in zip(text, late, strict=True)], kind)
@@ -113,7 +140,7 @@ def _remover(min_words: int) -> Callable:
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, outcome: str = "dedup") -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, outcome: str = "dedup", whole_lines: bool = False) -> DataFrame:
     """The rows of docs with repeated passages cut out, and a struct column ``outcome``.
 
     ``outcome`` has n_units, n_removed and spans, the removed ranges as offsets
@@ -123,11 +150,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null text stays null, an empty one empty.  Rows of equal id and text are one
     document: they don't count as repeats of each other and are cut alike.  Null
     ids rank last.  Other columns pass through; the outcome column gets a name
-    with underscores appended if docs has one of that name.
+    with underscores appended if docs has one of that name.  ``whole_lines``
+    also removes every line whose normalised words occur earlier as a line.
     """
     (name,) = fresh(docs.columns, outcome)
     i, r, u, k = fresh([*docs.columns, name], "_id", "_row", "_units", "_key")
-    late = repeated_units(docs, id_col, text_col).select(F.col("id").alias(i), F.col("row").alias(r), F.col("units").alias(u))
+    late = repeated_units(docs, id_col, text_col, whole_lines).select(F.col("id").alias(i), F.col("row").alias(r), F.col("units").alias(u))
     keyed = docs.withColumn(k, row_key(id_col, text_col))
     cut = F.arrow_udf(_remover(min_words), "text string, n_units bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>")
     joined = keyed.join(late, keyed[k].eqNullSafe(late[r]) & keyed[id_col].cast("bigint").eqNullSafe(late[i]), "left")

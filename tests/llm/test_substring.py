@@ -82,3 +82,11 @@ def test_very_long_text_and_empty_table(spark):
     got = dedup_substrings(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, len(r.text)) for r in got) == [(1, len(text)), (2, 0)]
     assert dedup_substrings(spark.createDataFrame([], "doc_id bigint, text string")).isEmpty()
+
+
+def test_whole_lines_go_however_short(spark):
+    rows = [(1, "Share this page\nOne text, of its own\nand end"), (4, " \n"), (5, ""), (2, "share  this page\nAnother text, and end\nShare this page\nof its own"), (3, "One text, of its own\nmore of it, share this page")]
+    got = {r.doc_id: r for r in dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), whole_lines=True).collect()}
+    assert got[1].text == rows[0][1]
+    assert got[2].text == "Another text, and end\nof its own" and got[2].dedup.n_removed == 2
+    assert got[3].text == "more of it, share this page" and [(s.start, s.end) for s in got[3].dedup.spans] == [(0, 21)]

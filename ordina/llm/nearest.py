@@ -78,7 +78,13 @@ def _best(q: np.ndarray, own: int, v: np.ndarray, ids: np.ndarray, rough: np.nda
     some = np.flatnonzero((rough >= above - margin) & (ids != own))
     if len(some) > k:
         kth = np.partition(rough[some], len(some) - k)[len(some) - k]
-        some = some[rough[some] >= kth - margin]
+        cut = some[rough[some] >= kth - margin]
+        if len(np.unique(ids[cut])) < k:  # repeated ids took places: the k best ids decide, each by its best row
+            by = some[np.argsort(ids[some], kind="stable")]
+            each = np.maximum.reduceat(rough[by], np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]])))
+            kth = np.partition(each, max(0, len(each) - k))[max(0, len(each) - k)]
+            cut = some[rough[some] >= kth - margin]
+        some = cut
     exact = products(np.broadcast_to(q, (len(some), len(q))), v[some])
     order = np.lexsort((ids[some], -exact))
     order = order[np.sort(np.unique(ids[some][order], return_index=True)[1])][:k]

@@ -44,6 +44,14 @@ def test_hot_vector_and_ties(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_repeated_ids_take_one_place_each(spark):
+    rows = vectors(500) * 3
+    near = np.array(rows[40][1])
+    rows += [(2001, [float(x) for x in (near * (1 + i / 1000)).astype(np.float32)]) for i in range(700)]
+    got = run(spark, rows)
+    assert got == brute(rows) and {len(x) for x in got.values()} == {20}
+
+
 def test_few_candidates_and_none(spark):
     assert run(spark, vectors(5)) == brute(vectors(5))
     assert run(spark, [(20, [1.0] * 4)]) == {} and run(spark, []) == {}

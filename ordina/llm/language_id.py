@@ -23,8 +23,12 @@ START = "▁"
 LONGEST = 16
 #: Words a worker keeps scores of; a bound on memory, without effect on results.
 KEPT_WORDS = 400_000
-#: Longer words are summed one by one with rescaling, as their probabilities leave the range of doubles.
+#: Longer words are summed one by one, to bound the table of prefix sums.
 PLAIN = 160
+#: Characters after which sums are rescaled, as the probabilities of words leave the range of doubles.
+STEP = 8
+#: Characters with padding whose sums are held at once when fitting; a single longer word is held whole.
+HELD = 800_000
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -88,34 +92,37 @@ def _sums(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return group[first], np.add.reduceat(value, first)
 
 
-def forward(n: int, width: int, a: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
-    """By word, position and language: the sum over all segmentations of the prefix. p: each arc's probabilities."""
+def forward(lengths: np.ndarray, a: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
+    """By word, position and language: the logarithm of the sum over all segmentations of the prefix. p: each arc's probabilities."""
     word, start, end, _ = a
-    alpha = np.zeros((n, width + 1, p.shape[1]))
+    width = int(lengths.max(initial=0))
+    alpha = np.zeros((len(lengths), width + 1, p.shape[1]))
+    shift = np.zeros_like(alpha)
     alpha[:, 0] = 1
     cuts = np.searchsorted(end, np.arange(1, width + 2))
+    scale = np.zeros((len(lengths), p.shape[1]))
     for j in range(1, width + 1):
         own = slice(cuts[j - 1], cuts[j])
         if own.start < own.stop:
             at, total = _sums(alpha[word[own], start[own]] * p[own], word[own])
             alpha[at, j] = total
-    return alpha
+            shift[at, j] = scale[at]
+            if j % STEP == 0:  # what later pieces can start from gets one scale
+                near = slice(max(0, j + 1 - LONGEST), j + 1)
+                alpha[at, near] /= total[:, None]
+                shift[at, near] += np.log(total)[:, None]
+                scale[at] += np.log(total)
+    return np.log(alpha, out=np.full_like(alpha, -np.inf), where=alpha > 0) + shift
 
 
-def backward(n: int, lengths: np.ndarray, a: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
-    """By word, position and language: the sum over all segmentations of the suffix."""
-    width = int(lengths.max(initial=0))
-    order = np.lexsort((a[0], a[1]))
-    word, start, end, p = a[0][order], a[1][order], a[2][order], p[order]
-    beta = np.zeros((n, width + 1, p.shape[1]))
-    beta[np.arange(n), lengths] = 1
-    cuts = np.searchsorted(start, np.arange(width + 1))
-    for i in range(width - 1, -1, -1):
-        own = slice(cuts[i], cuts[i + 1])
-        if own.start < own.stop:
-            at, total = _sums(beta[word[own], end[own]] * p[own], word[own])
-            beta[at, i] += total
-    return beta
+def backward(lengths: np.ndarray, a: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
+    """By word, position and language: the logarithm of the sum over all segmentations of the suffix."""
+    word, start, end, piece = a
+    left = lengths[word]
+    order = np.lexsort((word, left - start))
+    turned = forward(lengths, (word[order], (left - end)[order], (left - start)[order], piece[order]), p[order])
+    at = np.clip(lengths[:, None] - np.arange(turned.shape[1]), 0, None)
+    return turned[np.arange(len(lengths))[:, None], at]
 
 
 @dataclass
@@ -139,7 +146,7 @@ class Unigrams:
             for i in range(0, len(which), 4096):  # bounds the table of prefix sums
                 own = which[i : i + 4096]
                 a = self.lexicon.arcs([words[k] for k in own])
-                out[own] = np.log(forward(len(own), int(lengths[own].max()), a, self.p[a[3]])[np.arange(len(own)), lengths[own]])
+                out[own] = forward(lengths[own], a, self.p[a[3]])[np.arange(len(own)), lengths[own]]
         for i in np.flatnonzero(lengths > PLAIN):
             out[i] = self._long(words[i])
         return out
@@ -153,7 +160,7 @@ class Unigrams:
                     total = total + recent[-back] * self.p[k]
             recent.append(total)
             recent = recent[-LONGEST:]
-            if j % 8 == 0:
+            if j % STEP == 0:
                 scale += np.log(total)
                 recent = [x / total for x in recent]
         return scale + np.log(recent[-1])
@@ -179,7 +186,7 @@ class Unigrams:
 def fit(counts: dict[str, Counter], pieces: Iterable[str], rounds: int = 3, smooth: float = 0.05) -> Unigrams:
     """counts: words of each language. Pieces that fit in no word get the smoothing's share alone."""
     languages = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= 40})
+    words = sorted({w for c in counts.values() for w in c}, key=lambda w: (len(w), w))
     spelled = [START + w for w in words]
     every = sorted(set(pieces))
     used = [every[k - 1] for k in np.unique(Lexicon.of(every).arcs(spelled)[3]) if k]
@@ -193,17 +200,26 @@ def fit(counts: dict[str, Counter], pieces: Iterable[str], rounds: int = 3, smoo
         expected = np.stack([np.bincount(a[3], gamma[:, k], size) for k in range(len(languages))], 1) if languages else np.zeros((size, 0))
         return (expected + smooth) / (expected.sum(0) + smooth * size)
 
+    parts, i = [], 0
+    while i < len(words):  # words by length
+        j = i + 1
+        while j < len(words) and (j + 1 - i) * (lengths[j] + 1) <= HELD:
+            j += 1
+        parts.append((i, j))
+        i = j
+    arcs = np.argsort(a[0], kind="stable")
+    begins = np.searchsorted(a[0][arcs], np.arange(len(words) + 1))
+
     p = summed(seen[a[0]])
     for _ in range(rounds):
         expected = np.zeros_like(p)
-        cuts = np.arange(0, len(words), 20_000)
-        for i in cuts:  # bounds the tables of prefix and suffix sums
-            some = np.flatnonzero((a[0] >= i) & (a[0] < i + 20_000))
-            part, n = (a[0][some] - i, *(x[some] for x in a[1:])), min(20_000, len(words) - i)
-            own = lengths[i : i + n]
+        for i, j in parts:  # bounds the tables of prefix and suffix sums
+            some = arcs[begins[i] : begins[j]]
+            some = some[np.lexsort((a[0][some], a[2][some]))]
+            part, own = (a[0][some] - i, *(x[some] for x in a[1:])), lengths[i:j]
             pa_ = p[part[3]]
-            f, b = forward(n, int(own.max()), part, pa_), backward(n, own, part, pa_)
-            gamma = f[part[0], part[1]] * pa_ * b[part[0], part[2]] / np.maximum(f[np.arange(n), own], 1e-300)[part[0]] * seen[i : i + n][part[0]]
+            f, b = forward(own, part, pa_), backward(own, part, pa_)
+            gamma = np.exp(f[part[0], part[1]] + b[part[0], part[2]] - f[np.arange(j - i), own][part[0]]) * pa_ * seen[i:j][part[0]]
             for k in range(len(languages)):
                 expected[:, k] += np.bincount(part[3], gamma[:, k], size)
         p = (expected + smooth) / (expected.sum(0) + smooth * size)

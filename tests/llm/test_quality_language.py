@@ -72,6 +72,22 @@ def test_long_words_are_rescaled():
     assert np.allclose(m._long(w), m.log_probabilities([w])) and np.isfinite(m._long("▁" + "ab" * 5000)).all()
 
 
+def test_words_of_unseen_characters_do_not_decide():
+    counts = {"aa": Counter({"abab": 300_000, "ba": 2}), "bb": Counter({"bcb": 300_000, "cab": 2})}
+    m = language_id.fit(counts, ["▁", "a", "b", "c", "ab", "▁a", "bc", "cab", "▁ab"])
+    for n in (1, 60, 150, 400):
+        w = "▁" + "═" * n
+        assert np.allclose(m.log_probabilities([w]), m._long(w)), n
+        got = m.posteriors(["bcb " * 400 + "═" * n])[0]
+        assert m.languages[int(got.argmax())] == "bb" and 0 <= got.min() and got.max() <= 1, n
+
+
+def test_long_words_are_learned_from():
+    m = language_id.fit({"aa": Counter({"ab" * 30: 5}), "bb": Counter({"bc" * 300: 5, "b": 1})}, ["▁", "a", "b", "c", "ab", "bc"])
+    got = m.posteriors(["ab" * 30, "bc" * 30])
+    assert {"a", "ab", "c", "bc"} <= set(m.ids) and list(got.argmax(1)) == [0, 1] and np.allclose(m.p.sum(0), 1)
+
+
 def test_scores_do_not_depend_on_what_is_kept(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choice("abcx") for _ in range(rng.randrange(1, 9))) for _ in range(20)) for _ in range(30)]

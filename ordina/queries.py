@@ -270,6 +270,25 @@ def reduce_custom(spark, sf):
     return spark.createDataFrame([(o.reduce(R.Reducer("", lambda a, b: a + b)),)], "joined string")
 
 
+# The three folds over every row: a product of signs, which fits for any number of rows, and a custom reduction to ends and changes.
+@query("SELECT CAST(CASE WHEN count(*) FILTER (WHERE p_size % 2 = 0) % 2 = 1 THEN -1 ELSE 1 END AS BIGINT) AS product FROM part")
+def reduce_product_all(spark, sf):
+    return Ordered.of(parts(spark, sf).df.select("p_partkey", F.when(F.col("p_size") % 2 == 0, -1).otherwise(1).cast("bigint").alias("v")), "p_partkey").product()
+
+
+@query("SELECT arg_min(event_type, event_id) AS first, arg_max(event_type, event_id) AS last, count(*) FILTER (WHERE event_type <> before) AS changes FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS before FROM events)")
+def reduce_custom_all(spark, sf):
+    o = Ordered.of(events(spark, sf).df.select("event_id", F.struct(F.col("event_type").alias("first"), F.col("event_type").alias("last"), F.lit(0).alias("changes")).alias("v")), "event_id")
+    joined = lambda a, b: b if a is None else a if b is None else (a[0], b[1], a[2] + b[2] + (a[1] != b[0]))
+    return spark.createDataFrame([tuple(o.reduce(R.Reducer(None, joined)) or (None, None, 0))], "first string, last string, changes bigint")
+
+
+@query("SELECT CAST(sum(p_size) AS BIGINT) AS folded, CAST(sum(p_size) AS BIGINT) AS reduced FROM part")
+def try_fold_reduce_all(spark, sf):
+    o = Ordered.of(parts(spark, sf).df.select("p_partkey", "p_size"), "p_partkey")
+    return spark.createDataFrame([(o.try_fold(0, lambda a, b: a + b), o.try_reduce(lambda a, b: a + b))], "folded bigint, reduced bigint")
+
+
 @query("SELECT coalesce(bool_and(l_quantity > 0), true) AS every, coalesce(bool_or(l_quantity > 49), false) AS some, true AS every_of_none, false AS some_of_none FROM lineitem")
 def bool_reducers(spark, sf):
     q = F.col("l_quantity")

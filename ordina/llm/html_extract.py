@@ -41,7 +41,11 @@ LABELLED = (
     '<html><body><table><tr><td><a href="/m">Menu</a></td><td>|<h1>Rain</h1><p>It rained for forty days in the valley.</p><pre>ten twenty thirty</pre><p>Then it <strong>stopped</strong> and the hills were green.</p>|</td><td><div><a href="/v">Ad</a></div></td></tr></table><div><div>Copyright</div></div></body></html>',
 )
 
-_OPAQUE = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(%s)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z))" % "|".join(x for x in OPAQUE if x != "head"), re.S | re.I)
+#: What follows an element's name, so that <video-js> isn't a video.
+_NAMED = r"(?=[\s/>])"
+#: A head that isn't closed before the body, up to the first element that can't be in a head.
+_OPEN_HEAD = rf"(?:[^<]|<!--.*?(?:-->|\Z)|<(?P<h>script|style|noscript|template|title){_NAMED}[^>]*>.*?(?:</(?P=h)\s*>|\Z)|<(?:base|basefont|bgsound|link|meta){_NAMED}|<(?![a-zA-Z]))*+"
+_OPAQUE = re.compile(rf"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(%s){_NAMED}[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|head{_NAMED}[^>]*>(?:(?:(?!<body{_NAMED}).)*?</head\s*>|{_OPEN_HEAD}))" % "|".join(x for x in OPAQUE if x != "head"), re.S | re.I)
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)|[!?/][^>]*)>""")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 

@@ -52,3 +52,14 @@ def test_long_page_is_whole(spark):
 
 def test_weights_are_negative():
     assert all(v < 0 for v in W.values()) and "nav" not in W and W["p"] > W["div"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p>One thing that is said here.</p><video-js id=v></video-js><p>Two things that are said here.</p>",
+        "<html><head><title>T</title><meta charset=utf-8><script>x = '<div>'</script><p>One thing that is said here.</p><p>Two things that are said here.</p></html>",
+    ],
+)
+def test_custom_elements_and_open_heads_keep_the_rest(page):
+    assert extract(page, W).split("\n") == ["One thing that is said here.", "Two things that are said here."]

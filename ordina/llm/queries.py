@@ -152,34 +152,40 @@ FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-def _rank_sql(name: str, links: str, seeds: str, rounds: int = 10) -> str:
-    """CTEs of the personalised PageRank's rounds."""
-    out = [f"{name}_steps AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM {links})", f"{name}_0 AS MATERIALIZED (SELECT host, mass AS score FROM {seeds})"]
+def _rank_sql(kind: str) -> str:
+    """CTEs of the steps of the personalised PageRank of a kind, and their sum."""
+    rounds = url_filter.rounds_for()
+    out = [f"{kind}_0 AS MATERIALIZED (SELECT host, {kind} AS mass FROM hosts WHERE {kind} > 0)"]
     for i in range(1, rounds + 1):
-        out.append(f"{name}_m{i} AS MATERIALIZED (SELECT dst AS host, 0.85::DOUBLE * sum(score / degree) AS score FROM {name}_{i - 1} r JOIN {name}_steps s ON r.host = s.src GROUP BY dst)")
-        out.append(f"{name}_{i} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}_m{i} UNION ALL SELECT host, (1.0::DOUBLE - (SELECT coalesce(sum(score), 0) FROM {name}_m{i})) * mass FROM {seeds}) GROUP BY host)")
-    return ", ".join(out)
+        out.append(f"{kind}_{i} AS MATERIALIZED (SELECT dst AS host, sum(mass / degree) * {url_filter.DAMPING}::DOUBLE AS mass FROM {kind}_{i - 1} r JOIN steps s ON s.kind = '{kind}' AND r.host = s.src GROUP BY dst)")
+    every = " UNION ALL ".join(f"SELECT * FROM {kind}_{i}" for i in range(rounds + 1))
+    return ", ".join([*out, f"{kind}_all AS (SELECT host, sum(mass) AS score FROM ({every}) GROUP BY host)"])
 
 
-def _rule_sql(what: int) -> str:
-    cases = "".join(f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[what]}'" for v, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2])))
+def _rule_sql(what: int, path: str = "path") -> str:
+    cases = "".join(f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[what]}'" for v, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2])))
     return f"CASE{cases} END"
 
 
-_LINK_SQL = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''\s>]+)"""
+_LINK_SQL = url_filter.LINK.replace("'", "''").replace('\\"', '"')
+_NAMED_SQL = r"[^.:@\[\]]+(\.[^.:@\[\]]+)*\.[a-z][a-z0-9\-]*"
+_WHOLE_SQL = _rule_sql(1, "'/'")
 OP3_SQL = f"""
 WITH rest AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 parts AS (SELECT page_id, html, r, regexp_extract(r, '^[^/?#]*') AS h FROM rest),
 read AS (SELECT page_id, html, translate(h, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM parts),
 judged AS (SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS ruled FROM read),
-shares AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') / count(*) AS good, count(*) FILTER (WHERE ruled = 'block') / count(*) AS bad FROM judged WHERE host <> '' GROUP BY host),
-good AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS mass FROM shares WHERE good > 0.5),
-bad AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS mass FROM shares WHERE bad > 0.5),
+shares AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') / count(*) AS a, count(*) FILTER (WHERE ruled = 'block') / count(*) AS b, {_WHOLE_SQL} AS whole FROM judged WHERE host <> '' GROUP BY host),
+hosts AS MATERIALIZED (SELECT host, CASE whole WHEN 'allow' THEN 1.0::DOUBLE WHEN 'block' THEN 0.0::DOUBLE ELSE a + {url_filter.BENEFIT}::DOUBLE * (1 - a - b) END AS trust,
+          CASE whole WHEN 'allow' THEN 0.0::DOUBLE WHEN 'block' THEN 1.0::DOUBLE ELSE b END AS distrust FROM shares),
 links AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK_SQL}', 1)), '{UPPER}', '{LOWER}') AS dst FROM read WHERE host <> '') WHERE src <> dst),
-back AS (SELECT dst AS src, src AS dst FROM links),
-{_rank_sql("trust", "links", "good")}, {_rank_sql("distrust", "back", "bad")}
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(ruled, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN trust_10 t ON j.host = t.host LEFT JOIN distrust_10 d ON j.host = d.host
+named AS (SELECT DISTINCT string_split(host, '.') AS p FROM (SELECT host FROM hosts UNION SELECT dst FROM links) WHERE length(host) <= 253 AND regexp_full_match(host, '{_NAMED_SQL}')),
+up AS (SELECT DISTINCT array_to_string(p[i:], '.') AS sub, array_to_string(p[i + 1:], '.') AS dom FROM (SELECT p, unnest(range(1, len(p) - 1)) AS i FROM named)),
+edges AS (SELECT 'trust' AS kind, src, dst FROM links UNION SELECT 'distrust', dst, src FROM links UNION SELECT kind, sub, dom FROM up, (VALUES ('trust'), ('distrust')) k(kind) UNION SELECT kind, dom, sub FROM up, (VALUES ('trust'), ('distrust')) k(kind)),
+steps AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree FROM edges),
+{_rank_sql("trust")}, {_rank_sql("distrust")}
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(ruled, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) * (1 + 1e-9::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN trust_all t ON j.host = t.host LEFT JOIN distrust_all d ON j.host = d.host
 """
 
 _SIZE_SQL = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"

@@ -1,14 +1,19 @@
 """URL filter: host and path rules, then trust and distrust propagated over the host graph.
 
-Hosts whose pages the rules mostly allow are trusted seeds, hosts whose pages
-they mostly block are blocked seeds.  Personalised PageRank carries trust from
-the trusted seeds along links, and distrust from the blocked seeds against them
-(who links to a blocked host is suspect).  A url that no rule fits is judged by
-its host: blocked if the host's distrust exceeds its trust.
+Rules seed the hosts they judge: one for the whole host (path '/') makes it a
+trusted or a blocked seed, others seed it with the shares of its pages that they
+allow and block; pages without a rule count for trust by ``benefit``.  Personalised
+PageRank carries trust along links, and distrust against them (who links to a
+blocked host is suspect); between a domain and its subdomains both go both ways.
+A url that no rule fits is judged by its host: blocked if more distrust than trust
+arrives there.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +22,12 @@ from ordina.llm.common import discard, materialise
 #: (verdict, host, path) of the query's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: In an html text: the host of an absolute or protocol-relative link.
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
+#: In an html text: the host of an absolute or protocol-relative reference. What a page's base names counts as one, as relative references go there.
+LINK = r"(?i)<(?:a|area|base|link|i?frame)\s[^<>]*?(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s<>]+)"
+#: Hosts that can have domains above them: dotted names of which the last part is a word, as long as names may be.
+NAMED = r"^(?=.{1,253}$)[^.:@\[\]]+(?:\.[^.:@\[\]]+)*\.[a-z][a-z0-9\-]*$"
+#: A step's share, the share of all mass that scores may lack, and what a page without a rule counts for trust.
+DAMPING, RESIDUAL, BENEFIT = 0.5, 1e-4, 0.2
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,29 +54,44 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return found.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").distinct()
 
 
-def personalised_pagerank(links: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(host, score): rank of a walk over links (src, dst) that restarts at the seeds (host, mass), masses summing to 1.
+def domain_links(hosts: DataFrame) -> DataFrame:
+    """Distinct links (src, dst) of each host to the domain above it, and of that to the next, while they have two parts at least."""
+    parts = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
+    chains = hosts.where(F.col("host").rlike(NAMED)).select(above.alias("up"))
+    steps = F.transform(F.slice("up", 1, F.size("up") - 1), lambda d, i: F.struct(d.alias("src"), F.get("up", i + 1).alias("dst")))
+    return chains.select(F.explode(steps).alias("s")).select("s.src", "s.dst").distinct()
+
+
+def rounds_for(damping: float = DAMPING, residual: float = RESIDUAL) -> int:
+    """How many steps leave at most that share of the seeds' mass: each passes on ``damping`` of the last, damping / (1 - damping) in all after it."""
+    return max(0, math.ceil(math.log(residual * (1 - damping)) / math.log(damping)) - 1)
+
+
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
+    """(kind, host, score): personalised PageRank by kind, of walks over links (kind, src, dst) from seeds (kind, host, mass).
 
-    Each round is a join and an aggregation with partial sums; what hosts without
-    out-links hold restarts at the seeds, so the scores sum to 1.  Rounds are
-    written to the shared folder; hosts the walk never meets have no row.
+    A host's score is what arrives over all walks, a step passing on ``damping`` of
+    a mass in equal shares; walks end where no link leaves.  So scores are linear
+    in the seeds and those of two kinds can be compared.  Steps are taken until
+    what is left can add no more than ``residual`` of all mass.  Each is a join and an aggregation with partial sums, written to the shared
+    folder; hosts that no walk meets have no row.
     """
-    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    steps = materialise(links.join(degrees, "src"), "steps")
-    now = materialise(seeds.select("host", F.col("mass").alias("score")), "rank")
+    degrees = links.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
+    steps = materialise(links.join(degrees, ["kind", "src"]), "steps")
+    moved = [materialise(seeds.select("kind", "host", "mass"), "moved")]
     if not steps.isEmpty():
-        for _ in range(rounds):
-            moved = now.join(steps, now["host"] == steps["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") / F.col("degree"))).alias("score"))
-            moved = materialise(moved, "moved")
-            kept = moved.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-            then = moved.unionAll(seeds.select("host", ((1.0 - kept) * F.col("mass")).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-            then = materialise(then, "rank")
-            discard(now, moved)
-            now = then
-    return now
-
-
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, ratio: float = 1.0) -> DataFrame:
+        for _ in range(rounds_for(damping, residual)):
+            last = moved[-1].withColumnRenamed("host", "src")
+            share = F.sum(F.col("mass") / F.col("degree")) * damping
+            moved.append(materialise(last.join(steps, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(share.alias("mass")), "moved"))
+    every = reduce(DataFrame.unionAll, moved)
+    out = materialise(every.groupBy("kind", "host").agg(F.sum("mass").alias("score")), "scores")
+    discard(steps, *moved)
+    return out
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, benefit: float = BENEFIT, ratio: float = 1.0) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the host's trust and distrust.
 
     A null url, or one without '://', has host and path ''; no rule fits it and it
@@ -75,24 +99,31 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     has no links.  Repeated rows are judged alike; a null id stays null.  Columns
     besides the three named are not read.  A host that owns a third of all pages
     is one row of the graph; its pages meet its scores by a join that Spark can
-    split or broadcast.
+    split or broadcast.  Host names are taken as they are: without a list of public
+    suffixes, hosts below one like co.uk are taken for subdomains of one domain.
     """
     host, path = host_and_path(F.col(url_col))
     names = ("_id", "_host", "_path", "_html")
-    read = pages.select(F.col(id_col).alias(names[0]), host.alias(names[1]), path.alias(names[2]), F.col(html_col).alias(names[3]))
+    read = pages.select(F.col(f"`{id_col}`").alias(names[0]), host.alias(names[1]), path.alias(names[2]), F.col(f"`{html_col}`").alias(names[3]))
     text, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     judged = read.select("_id", "_host", "_path", text.alias("_rule"), verdict.alias("_ruled"))
-    shares = judged.where("_host <> ''").groupBy("_host").agg((F.count_if(F.col("_ruled") == "allow") / F.count(F.lit(1))).alias("good"), (F.count_if(F.col("_ruled") == "block") / F.count(F.lit(1))).alias("bad"))
-    shares = materialise(shares, "hosts")
-    links = materialise(host_links(read, "_host", "_html"), "hostlinks")
+    shares = judged.where("_host <> ''").groupBy(F.col("_host").alias("host")).agg(*((F.count_if(F.col("_ruled") == v) / F.count(F.lit(1))).alias(v) for v in ("allow", "block")))
+    whole = rule_of(F.col("host"), F.lit("/"), rules)[1]
+    trust = F.when(whole == "allow", 1.0).when(whole == "block", 0.0).otherwise(F.col("allow") + benefit * (1 - F.col("allow") - F.col("block")))
+    distrust = F.when(whole == "allow", 0.0).when(whole == "block", 1.0).otherwise(F.col("block"))
+    hosts = materialise(shares.select("host", trust.alias("trust"), distrust.alias("distrust")), "hosts")
+    seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "mass")).where("mass > 0")
 
-    def seeds(share: str) -> DataFrame:
-        some = shares.where(F.col(share) > 0.5)
-        return some.select(F.col("_host").alias("host"), F.lit(1.0 / max(1, some.count())).alias("mass"))
-
-    trust = personalised_pagerank(links, seeds("good")).select(F.col("host"), F.col("score").alias("trust"))
-    distrust = personalised_pagerank(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds("bad")).select(F.col("host"), F.col("score").alias("distrust"))
-    scores = trust.join(distrust, "host", "full")
+    links = materialise(host_links(read, "_host", "_html"), "hostlinks")
+    ends = links.select(F.col("dst").alias("host")).unionAll(hosts.select("host")).distinct()
+    up = materialise(domain_links(ends), "domains")
+    pair = lambda kind, a, b: [F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst")]
+    steps = links.select(*pair("trust", "src", "dst")).unionAll(links.select(*pair("distrust", "dst", "src")))
+    for kind in ("trust", "distrust"):
+        steps = steps.unionAll(up.select(*pair(kind, "src", "dst"))).unionAll(up.select(*pair(kind, "dst", "src")))
+    found = propagate(steps.distinct(), seeds)
+    scores = found.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
     out = judged.join(scores, judged["_host"] == scores["host"], "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    by_host = F.when(F.col("distrust") > ratio * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
+    # Sums differ in their last digits with the order of their terms, which mustn't decide.
+    by_host = F.when(F.col("distrust") > ratio * F.col("trust") * (1 + 1e-9), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_ruled", by_host).alias("verdict"), "trust", "distrust")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ordina.plans.scratch import delete_path, discard, materialise, scratch_path, scratch_root
 
-__all__ = ["delete_path", "discard", "fold_of", "fresh", "lower_words", "materialise", "row_key", "scratch_path", "scratch_root", "table"]
+__all__ = ["delete_path", "discard", "fold_of", "fresh", "lower_words", "materialise", "named", "row_key", "scratch_path", "scratch_root", "table"]
 
 
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
@@ -24,9 +24,15 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def named(column: str, table: str = "") -> Column:
+    """The column of exactly that name, which may hold dots."""
+    quoted = "`" + column.replace("`", "``") + "`"
+    return F.col(f"{table}.{quoted}" if table else quoted)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """With the id, tells rows apart: rows of equal id and text count as one document."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(named(id_col), named(text_col))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text modulo folds; a null id gives null."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
+    return F.pmod(F.crc32(named(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
 def lower_words(text: bytes) -> list[bytes]:

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import fresh, materialise, row_key
+from ordina.llm.common import fresh, materialise, named, row_key
 
 #: A-Z become a-z; ASCII digits, a-z and all bytes of other characters stay; the rest separates words.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -141,10 +141,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """
     spark = docs.sparkSession
     (name,) = fresh(docs.columns, outcome)
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
+    rows = benchmark.select(named(item_col).cast("string").alias("i"), named(item_text).cast("binary").alias("t"))
     blocks = pattern_blocks(((r.i, bytes(r.t) if r.t is not None else None) for r in rows.toLocalIterator()), width, block_chars)
     first = next(blocks)
-    text = F.col(text_col).cast("binary")
+    text = named(text_col).cast("binary")
 
     def found(block: dict) -> DataFrame:
         return docs.withColumn(name, F.arrow_udf(_scanner(spark.sparkContext.broadcast(block)), _TYPE)(text))
@@ -156,13 +156,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     parts = None
     for block in (first, second, *blocks):
         hits = found(block).where(F.col(name)["n_hit"] > 0)
-        part = materialise(hits.select(F.col(id_col).alias(i), row_key(id_col, text_col).alias(key), F.col(name)["items"].alias("items"), F.col(name)["spans"].alias("spans")).distinct(), "leaks")
+        part = materialise(hits.select(named(id_col).alias(i), row_key(id_col, text_col).alias(key), F.col(name)["items"].alias("items"), F.col(name)["spans"].alias("spans")).distinct(), "leaks")
         parts = part if parts is None else parts.unionAll(part)
     merged = parts.groupBy(i, key).agg(F.collect_list("items").alias("_items"), F.collect_list("spans").alias("_spans"))
     base = found({}).withColumn(key, row_key(id_col, text_col)).alias("d")
-    both = base.join(merged.alias("m"), F.col(f"d.{key}").eqNullSafe(F.col(f"m.{key}")) & F.col(f"d.{id_col}").eqNullSafe(F.col(f"m.{i}")), "left")
-    whole = F.arrow_udf(_merge, _TYPE)(F.col(f"d.{name}")["n_words"], F.col("m._items"), F.col("m._spans"), F.col(f"d.{text_col}").cast("binary"))
-    return both.select(*(F.col(f"d.{c}") for c in docs.columns), whole.alias(name))
+    both = base.join(merged.alias("m"), F.col(f"d.{key}").eqNullSafe(F.col(f"m.{key}")) & named(id_col, "d").eqNullSafe(F.col(f"m.{i}")), "left")
+    whole = F.arrow_udf(_merge, _TYPE)(F.col(f"d.{name}")["n_words"], F.col("m._items"), F.col("m._spans"), named(text_col, "d").cast("binary"))
+    return both.select(*(named(c, "d") for c in docs.columns), whole.alias(name))
 
 
 def items_digest(items: list[str]) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import fresh
+from ordina.llm.common import fresh, named
 
 #: Elements whose content is never text of the page; the first four hold no markup, so an open one lasts to the page's end.
 OPAQUE = ("script", "style", "title", "xmp", "noscript", "template", "svg", "iframe", "object", "canvas", "video", "audio", "math")
@@ -407,4 +407,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", outcome: str = "main_
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([extract(t.as_py(), learned) for t in texts], pa.string())
 
-    return pages.withColumn(name, F.arrow_udf(run, "string")(F.col(html_col)))
+    return pages.withColumn(name, F.arrow_udf(run, "string")(named(html_col)))

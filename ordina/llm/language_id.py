@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import fold_of, fresh
+from ordina.llm.common import fold_of, fresh, named
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
@@ -231,7 +231,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Documents without text, language or id aren't used.
     """
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
+    some = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
     some = some.where(fold_of("id", folds) != held_out)
     counts: dict[str, Counter] = {}
     for (lang,) in some.select("lang").distinct().collect():
@@ -268,4 +268,4 @@ def identify(docs: DataFrame, model: Unigrams, text_col: str = "text", outcome:
                     out.append({"lang_pred": m.languages[best], "score": float(scores[k][best])})
         return pa.array(out, kind)
 
-    return docs.withColumn(name, F.arrow_udf(run, "lang_pred string, score double")(F.col(text_col)))
+    return docs.withColumn(name, F.arrow_udf(run, "lang_pred string, score double")(named(text_col)))

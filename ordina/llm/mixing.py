@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordina.llm.common import fresh
+from ordina.llm.common import fresh, named
 
 #: Buckets of the shuffled order: running totals are taken within a bucket and over the buckets' sums, so no task holds a source.
 BUCKETS = 4096
@@ -48,14 +48,15 @@ def source_weights(sources: DataFrame) -> DataFrame:
     return sources.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, cap: int = 3, outcome: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, cap: int = 3, outcome: str = "mix", size_col: str | None = None) -> DataFrame:
     """The rows of docs with a struct column ``outcome``: size, source_size, target, epochs, taken and finish.
 
-    size is the text's number of words, taken is size times the epochs in which
-    the document is served before virtual time 1, the document that straddles it
-    belonging to the mix if more than half of it comes before.  finish is the
-    virtual time of its first serving.  ``weights`` has source and weight; by
-    default weights are 1, 2, 3, repeating.
+    size is the text's number of words, or ``size_col`` where that is given.  A
+    serving's time is the virtual time at which half of the document has been
+    served; those up to time 1 make the mix (see ``mixed_order``).  epochs counts
+    them, at most ``cap``, taken is size times epochs.  finish is the virtual time
+    at which the first serving ends.  ``weights`` has source and weight; by default
+    weights are 1, 2, 3, repeating.
 
     Rows of null or empty text have size 0 and are taken 0 words, in no epoch.  A
     null source is a source of its own.  The shuffle is by md5 of the id as text,
@@ -65,7 +66,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     (name,) = fresh(docs.columns, outcome)
     src, size, hashed, bucket, upto, own = fresh([*docs.columns, name], "_source", "_size", "_hash", "_bucket", "_upto", "_own")
-    ranked = docs.select("*", F.col(source_col).alias(src), word_count(F.col(text_col)).alias(size), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias(hashed))
+    words = word_count(named(text_col)) if size_col is None else named(size_col).cast("bigint")
+    ranked = docs.select("*", named(source_col).alias(src), words.alias(size), F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")).alias(hashed))
     ranked = ranked.withColumn(bucket, F.conv(F.substring(F.col(hashed), 1, 3), 16, 10).cast("int"))
     sums = ranked.groupBy(F.col(src).alias("source"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("words"))
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -73,19 +75,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select(F.col("source").alias("_s"), "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
     starts = ahead.join(targets(weighed, cap), F.col("_s").eqNullSafe(F.col("source"))).select(F.struct("source", "bucket", "ahead", "source_size", "target").alias(own))
-    within = Window.partitionBy(src, bucket).orderBy(hashed, F.col(id_col).asc_nulls_last(), size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(src, bucket).orderBy(hashed, named(id_col).asc_nulls_last(), size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = ranked.withColumn(upto, F.sum(size).over(within))
     served = queued.join(starts, F.col(src).eqNullSafe(F.col(own)["source"]) & (F.col(bucket) == F.col(own)["bucket"]))
     at = {x: F.col(own)[x] for x in ("ahead", "source_size", "target")}
     end = at["ahead"] + F.col(upto)
-    # Epoch e serves the document if its middle, e * source_size + end - size / 2, comes before the target.
-    epochs = sum(((2 * (e * at["source_size"] + end) - F.col(size) <= 2 * at["target"]) & (F.col(size) > 0)).cast("int") for e in range(cap))
-    result = F.struct(F.col(size).alias("size"), at["source_size"].alias("source_size"), at["target"].alias("target"), epochs.alias("epochs"), (epochs * F.col(size)).alias("taken"), F.when(at["target"] > 0, end / at["target"]).alias("finish"))
-    return served.select(*docs.columns, result.alias(name))
+    epochs = sum((_in_time(F.col(size), at["source_size"], at["target"], end, e) & (F.col(size) > 0)).cast("int") for e in range(cap))
+    result = F.struct(F.col(size).alias("size"), at["source_size"].alias("source_size"), at["target"].alias("target"), epochs.alias("epochs"), (epochs * F.col(size)).alias("taken"), F.when(at["target"] > 0, end / at["target"]).alias("finish"), end.alias("upto"))
+    return served.select(*map(named, docs.columns), result.alias(name))
 
 
-def mixed_order(mixed: DataFrame, outcome: str = "mix") -> DataFrame:
-    """The mix itself: a row for each serving, range-sorted by virtual finish time."""
+def _in_time(size: Column, source_size: Column, target: Column, upto: Column, epoch: int | Column) -> Column:
+    """Whether half of a document has been served by time 1, without the rounding of a division."""
+    return 2 * (epoch * source_size + upto) - size <= 2 * target
+
+
+def servings(mixed: DataFrame, outcome: str = "mix", cap: int = 3) -> DataFrame:
+    """A row for each serving of ``cap`` epochs of what ``mix`` returned; its struct gets epoch, time, finish and served: whether it comes by time 1."""
+    (epoch,) = fresh(mixed.columns, "_epoch")
+    at, e = F.col(outcome), F.col(epoch)
+    every = mixed.where((at["size"] > 0) & (at["target"] > 0)).select("*", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias(epoch))
+    end = e * at["source_size"] + at["upto"]
+    more = {"epoch": e, "time": (end - at["size"] / 2) / at["target"], "finish": end / at["target"], "served": _in_time(at["size"], at["source_size"], at["target"], at["upto"], e)}
+    full = at
+    for name, value in more.items():
+        full = full.withField(name, value)
+    return every.select(*(full.alias(c) if c == outcome else named(c) for c in mixed.columns))
+
+
+def mixed_order(mixed: DataFrame, outcome: str = "mix", cap: int = 3) -> DataFrame:
+    """The mix itself: a row for each serving, range-sorted by virtual time and cut off at time 1, when the budget is used up."""
     at = F.col(outcome)
-    servings = mixed.where(at["epochs"] > 0).select("*", F.explode(F.sequence(F.lit(0), at["epochs"] - 1)).alias("epoch"))
-    return servings.withColumn("finish", at["finish"] + F.col("epoch") * at["source_size"] / at["target"]).orderBy("finish")
+    return servings(mixed, outcome, cap).where(at["served"]).withColumn(outcome, at.dropFields("served", "upto")).orderBy(at["time"], at["finish"])

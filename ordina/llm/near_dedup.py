@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import discard, lower_words, materialise
+from ordina.llm.common import discard, lower_words, materialise, named
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 #: Ids up to this many go to the scan as a broadcast (8 bytes each); more are joined by shuffle.
@@ -105,7 +105,7 @@ def _sketcher(cfg: MinHash) -> Callable:
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, cfg: MinHash) -> DataFrame:
     """id, n_shingles, a 128-bit digest (k1, k2) of the whole shingle set, and the signature (null for an empty set)."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    src = docs.select(named(id_col).cast("bigint").alias("id"), named(text_col).cast("binary").alias("text"))
     return src.mapInArrow(_sketcher(cfg), "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary")
 
 
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, cfg: MinHash) -> DataFrame:
     """id and full shingle set (64-bit hashes) of the documents of these ids."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    src = docs.select(named(id_col).cast("bigint").alias("id"), named(text_col).cast("binary").alias("text"))
     ids = materialise(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
     return materialise(src.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(cfg), "id bigint, shingles binary"), "sets")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordina.llm.common import materialise
+from ordina.llm.common import materialise, named
 
 DIMS, BITS = 8, 7
 #: Vectors in a block, and blocks at most: their centres go to each task.
@@ -114,8 +114,8 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and v: vectors of the most frequent length that aren't null or zero and hold only finite numbers, of rows with an id."""
     kind = rows.schema[vec_col].dataType
     element = kind.elementType if isinstance(kind, T.ArrayType) else T.DoubleType()
-    v = F.col(vec_col) if isinstance(element, (T.FloatType, T.DoubleType)) else F.col(vec_col).cast("array<double>")
-    read = rows.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
+    v = named(vec_col) if isinstance(element, (T.FloatType, T.DoubleType)) else named(vec_col).cast("array<double>")
+    read = rows.select(named(id_col).cast("bigint").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     read = read.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     common = read.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
     return read.where(F.size("v") == (common["n"] if common else 0))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import fold_of, fresh, lower_words
+from ordina.llm.common import fold_of, fresh, lower_words, named
 
 WORDS = 1 << 15
 #: Upper edges of the bins of a share, and the number of bins of any statistic.
@@ -111,9 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample is bounded, so its ids can be broadcast and its features fit the
     driver.  Labels other than 0 and 1, and rows without id, aren't used.
     """
-    some = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where(f"label in (0, 1) and id is not null")
+    some = labels.select(named(id_col).cast("bigint").alias("id"), named(label_col).cast("int").alias("label")).where(f"label in (0, 1) and id is not null")
     some = some.where(fold_of("id", folds) != held_out).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(named(id_col).cast("bigint").alias("id"), named(text_col).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(some), "id").select("id", "label", "text").mapInArrow(_featurise, "id bigint, label int, index binary, value binary").collect()
     rows.sort(key=lambda r: (r["id"], r["label"], bytes(r["index"]), bytes(r["value"])))
     return fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in rows])
@@ -134,4 +134,4 @@ def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", out
         m = shared.value
         return pa.array([m.score(*features(t.as_py())) for t in texts], pa.float64())
 
-    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text_col).cast("binary")))
+    return docs.withColumn(name, F.arrow_udf(run, "double")(named(text_col).cast("binary")))

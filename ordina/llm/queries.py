@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordina.llm import html_extract, language_id, mixing, nearest, quality, substring_dedup, url_filter, warc
-from ordina.llm.common import fold_of, scratch_path, table
+from ordina.llm.common import fold_of, materialise, scratch_path, table
 from ordina.llm.decontaminate import find_contamination
 from ordina.llm.near_dedup import MinHash, near_duplicates
 
@@ -20,12 +20,6 @@ def _span_text(spans: Column) -> Column:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", F.col("dedup.n_units").alias("n_units"), F.col("dedup.n_removed").alias("n_removed"), _span_text(F.col("dedup.spans")).alias("removed_spans"), "text")
-
-
-def op1_substring_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op1_substring_dedup, and repeated whole lines go however short."""
     cut = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=True)
     return cut.select("doc_id", F.col("dedup.n_units").alias("n_units"), F.col("dedup.n_removed").alias("n_removed"), _span_text(F.col("dedup.spans")).alias("removed_spans"), "text")
 
@@ -55,7 +49,9 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents")
+    sized = materialise(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sized")  # texts are read and cut into words once
+    mixed = mixing.mix(sized, size_col="size")
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
@@ -87,34 +83,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op1_substring_dedup_lines, op2_decontaminate, op3_url_filter, op4_quality, op5_html_extract, op6_mixing, op7_warc, op8_near_dedup, op9_language_id, op10_nearest, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_url_filter, op4_quality, op5_html_extract, op6_mixing, op7_warc, op8_near_dedup, op9_language_id, op10_nearest, pipeline)}
 
 _BLANK = r"[ \t\n\v\f\r]+"
 _CUT = "text"
 for _end in substring_dedup.ENDS:
     _CUT = f"replace({_CUT}, '{_end} ', '{_end}' || chr(10))"
 
-OP1_SQL = f"""
-WITH cut AS (SELECT doc_id, text, string_split({_CUT}, chr(10)) AS us FROM documents WHERE text IS NOT NULL),
-raw AS (SELECT doc_id, text, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM cut),
-placed AS (SELECT *, CAST(sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(u) - 1 AS s FROM raw),
-normal AS (SELECT *, trim(regexp_replace(lower(u), '{_BLANK}', ' ', 'g')) AS norm FROM placed),
-units AS (SELECT doc_id, text, s, norm, length(norm) - length(replace(norm, ' ', '')) + 1 AS nw, row_number() OVER w AS idx,
-          coalesce(lead(s) OVER w, length(text)) AS nxt FROM normal WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
-marked AS (SELECT *, rank() OVER (PARTITION BY norm ORDER BY doc_id, idx) > 1 AS dup FROM units),
-runs AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id, dup ORDER BY idx) AS run FROM marked),
-judged AS (SELECT *, dup AND sum(nw) OVER (PARTITION BY doc_id, dup, run) >= 25 AS gone FROM runs),
-spans AS (SELECT doc_id, min(s) AS a, max(nxt) AS b FROM judged WHERE gone GROUP BY doc_id, run),
-span_text AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS removed_spans FROM spans GROUP BY doc_id),
-kept AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed, min(s) AS first_s,
-         string_agg(CASE WHEN gone THEN '' ELSE substr(text, CAST(s AS INT) + 1, CAST(nxt - s AS INT)) END, '' ORDER BY s) AS rest FROM judged GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_spans, '') AS removed_spans,
-       CASE WHEN n_units IS NULL THEN d.text ELSE substr(d.text, 1, CAST(first_s AS INT)) || rest END AS text
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN span_text USING (doc_id)
-"""
-
 #: A unit's line is the number of line ends in the text before it.
-OP1_LINES_SQL = f"""
+OP1_SQL = f"""
 WITH cut AS (SELECT doc_id, text, string_split({_CUT}, chr(10)) AS us FROM documents WHERE text IS NOT NULL),
 raw AS (SELECT doc_id, text, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM cut),
 placed AS (SELECT *, CAST(sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(u) - 1 AS s FROM raw),
@@ -232,4 +209,4 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS sco
 SELECT query_id, CAST(row_number() OVER o AS INT) AS rank, vec_id, score FROM p WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op1_substring_dedup_lines": OP1_LINES_SQL, "op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_near_dedup": OP8_SQL, "op10_nearest": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_near_dedup": OP8_SQL, "op10_nearest": OP10_SQL}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordina.llm.common import fresh, row_key
+from ordina.llm.common import fresh, named, row_key
 
 #: What ends a unit when a space follows.
 ENDS = (".", "!", "?", ",", ";", ":")
@@ -92,7 +92,7 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, whole_lines: boo
     Ranked by id (nulls last), then row digest, then position.  With ``whole_lines``
     also LINE plus its first unit's number for each line that occurs earlier as one.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    src = docs.select(named(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("row"), named(text_col).alias("text"))
     found = src.mapInArrow(_digests(whole_lines), "id bigint, row bigint, unit int, k1 bigint, k2 bigint, later boolean")
     # What a task already knows to be later only passes through, dealt by its own place: a frequent unit arrives once a task.
     key = [F.when(F.col("later"), F.xxhash64("id", "row", "unit")).otherwise(F.col("k1")).alias("k1"), F.when(F.col("later"), F.lit(0)).otherwise(F.col("k2")).alias("k2")]
@@ -158,7 +158,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     late = repeated_units(docs, id_col, text_col, whole_lines).select(F.col("id").alias(i), F.col("row").alias(r), F.col("units").alias(u))
     keyed = docs.withColumn(k, row_key(id_col, text_col))
     cut = F.arrow_udf(_remover(min_words), "text string, n_units bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>")
-    joined = keyed.join(late, keyed[k].eqNullSafe(late[r]) & keyed[id_col].cast("bigint").eqNullSafe(late[i]), "left")
-    out = joined.withColumn(u, cut(F.col(text_col), F.col(u)))
-    keep = [F.col(u)["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    joined = keyed.join(late, keyed[k].eqNullSafe(late[r]) & named(id_col).cast("bigint").eqNullSafe(late[i]), "left")
+    out = joined.withColumn(u, cut(named(text_col), F.col(u)))
+    keep = [F.col(u)["text"].alias(c) if c == text_col else named(c) for c in docs.columns]
     return out.select(*keep, F.struct(*(F.col(u)[x].alias(x) for x in ("n_units", "n_removed", "spans"))).alias(name))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import discard, materialise
+from ordina.llm.common import discard, materialise, named
 
 #: (verdict, host, path) of the query's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -102,9 +102,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     split or broadcast.  Host names are taken as they are: without a list of public
     suffixes, hosts below one like co.uk are taken for subdomains of one domain.
     """
-    host, path = host_and_path(F.col(url_col))
+    host, path = host_and_path(named(url_col))
     names = ("_id", "_host", "_path", "_html")
-    read = pages.select(F.col(f"`{id_col}`").alias(names[0]), host.alias(names[1]), path.alias(names[2]), F.col(f"`{html_col}`").alias(names[3]))
+    read = pages.select(named(id_col).alias(names[0]), host.alias(names[1]), path.alias(names[2]), named(html_col).alias(names[3]))
     text, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     judged = read.select("_id", "_host", "_path", text.alias("_rule"), verdict.alias("_ruled"))
     shares = judged.where("_host <> ''").groupBy(F.col("_host").alias("host")).agg(*((F.count_if(F.col("_ruled") == v) / F.count(F.lit(1))).alias(v) for v in ("allow", "block")))

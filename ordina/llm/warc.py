@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordina.llm.common import materialise
+from ordina.llm.common import materialise, named
 
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
@@ -326,7 +326,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 def with_first(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
     """page, url, payload, digest, first: of pages of equal payloads the smallest id if the row isn't that one, else null."""
-    read = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    read = pages.select(named(id_col).alias("page"), named(url_col).alias("url"), F.coalesce(named(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     read = read.withColumn("digest", F.unhex(F.sha1("payload")))
     groups = read.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     groups = materialise(groups.select("digest", "first"), "payloads")

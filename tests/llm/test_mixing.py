@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ordina.llm.mixing import mix, mixed_order, word_count
+from ordina.llm.common import materialise
+from ordina.llm.mixing import mix, mixed_order, servings, word_count
 
 
 def filled(sizes, weights, cap=3):
@@ -56,8 +57,36 @@ def test_order_and_servings(spark):
     rows = [(i, "w w", "few" if i < 3 else "many") for i in range(60)]
     mixed = mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     served = mixed_order(mixed).collect()
-    assert [r.finish for r in served] == sorted(r.finish for r in served) and len(served) == sum(r.mix.epochs for r in mixed.collect())
-    assert sorted(r.epoch for r in served if r.source == "few") == [0] * 3 + [1] * 3 + [2] * 3
+    assert [r.mix.time for r in served] == sorted(r.mix.time for r in served) and len(served) == sum(r.mix.epochs for r in mixed.collect())
+    assert sorted(r.mix.epoch for r in served if r.source == "few") == [0] * 3 + [1] * 3 + [2] * 3
+
+
+def test_taken_is_the_sorted_sequence_cut_off(spark):
+    """All servings in order of virtual time, those up to time 1, against what mix says is taken; each source gets its target but for half a document."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["hot"] * 5 + ["a", "b", "c", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = materialise(mix(df), "mixed")
+    order = sorted(servings(mixed).select("doc_id", "mix.time", "mix.size", "mix.target", "source").collect(), key=lambda r: r.time)
+    taken, words = {}, {}
+    for r in order:
+        if r.time > 1 + 1e-12:
+            break
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r["size"]
+        words[r.source] = words.get(r.source, 0) + r["size"]
+    want = {r.doc_id: r.taken for r in mixed.select("doc_id", "mix.taken").collect() if r.taken}
+    assert taken == want and len(mixed_order(mixed).collect()) == sum(t // len(rows[i][1].split()) for i, t in want.items())
+    goals = {r.source: r.target for r in order}
+    assert all(abs(words[s] - goals[s]) <= 20 for s in goals)
+
+
+def test_given_sizes_and_odd_names(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 3}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("a.b", F.lit(1)).withColumn("`x", F.lit(2))
+    by_text = mix(df).select("doc_id", "mix.*").collect()
+    assert {"a.b", "`x"} <= set(mix(df).columns)
+    sized = df.select("doc_id", "source", word_count(F.col("text")).alias("n.words"))
+    assert sorted(by_text) == sorted(mix(sized, size_col="n.words").select("doc_id", "mix.*").collect())
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "", "a"), (2, "", "b")]])

@@ -41,7 +41,7 @@ def test_query_has_a_row_for_each(spark, name):
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, _kept int, dedup int, leak int")
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, _kept int, dedup int, leak int").withColumn("a.b", F.lit(1))
 
 
 def row(i, text, source="s"):
@@ -83,6 +83,8 @@ def test_decontamination_drops_leaks_only(spark):
 def test_run_applies_every_stage(spark):
     out = cp.run(spark, SF)
     whole = spark.read.parquet(f"{SF}/documents.parquet")
-    assert 0 < out.count() < whole.count() and out.columns == [*whole.columns, "mix"]
+    assert 0 < out.select("doc_id").distinct().count() < whole.count() and out.columns == [*whole.columns, "mix"]
     assert out.where(F.col("mix.taken") <= 0).isEmpty()
+    times = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("mix.epochs").alias("epochs"))
+    assert times.where("n <> epochs").isEmpty() and times.where("n > 1").count() > 0
     assert [n for n, _ in cp.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontaminate", "mixing"]

@@ -66,9 +66,9 @@ def test_passage_inside_lines_is_cut_and_offsets_hold(spark):
 def test_edge_rows(spark):
     long_ = "word " * 30
     rows = [(1, None), (2, ""), (3, " \n "), (4, long_), (5, long_), (None, long_), (6, "É" * 3 + ", " + long_), (4, long_)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("dedup", F.lit(1)).withColumn("_units", F.lit("u"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("dedup", F.lit(1)).withColumn("_units", F.lit("u")).withColumn("a.b", F.lit(1))
     got = dedup_substrings(df).collect()
-    assert set(got[0].asDict()) == {"doc_id", "text", "dedup", "_units", "dedup_"} and len(got) == len(rows)
+    assert set(got[0].asDict()) == {"doc_id", "text", "dedup", "_units", "a.b", "dedup_"} and len(got) == len(rows)
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.text, r.dedup_.n_removed))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordina.llm import mixing, quality
-from ordina.llm.common import fresh, materialise, table
+from ordina.llm.common import fresh, materialise, named, table
 from ordina.llm.decontaminate import find_contamination
 from ordina.llm.near_dedup import near_duplicates
 from ordina.llm.substring_dedup import dedup_substrings
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps documents scored at least LEAST_QUALITY; null and empty texts are scored by their statistics like any."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
     (score,) = fresh(docs.columns, "score")
-    return quality.score_quality(docs, machine, outcome=score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
+    return quality.score_quality(docs, machine, outcome=score).where(F.col(score) >= LEAST_QUALITY).select(*map(named, docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rank, hit = fresh([*docs.columns, id_], "_rank", "_hit")
     flagged = left.join(repeated.withColumn(hit, F.lit(1)), F.col("doc_id") == F.col(id_), "left")
     once = flagged.where(F.col(hit) == 1).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(rank) == 1)
-    return flagged.where(F.col(hit).isNull()).select(*docs.columns).unionAll(once.select(*docs.columns))
+    return flagged.where(F.col(hit).isNull()).select(*map(named, docs.columns)).unionAll(once.select(*map(named, docs.columns)))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     (outcome,) = fresh(docs.columns, "dedup")
     cut = dedup_substrings(docs, outcome=outcome, whole_lines=True)
     emptied = (F.col(outcome)["n_removed"] > 0) & (F.trim("text") == "")
-    length = [F.when(F.col(outcome)["n_removed"] > 0, F.length("text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    length = [F.when(F.col(outcome)["n_removed"] > 0, F.length("text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
     return cut.where(~F.coalesce(emptied, F.lit(False))).select(*length)
 
 
@@ -61,14 +61,13 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Drops documents with a window of ten consecutive words of a benchmark item."""
     (outcome,) = fresh(docs.columns, "leak")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), outcome=outcome)
-    return found.where(F.col(outcome)["n_hit"] == 0).select(*docs.columns)
+    return found.where(F.col(outcome)["n_hit"] == 0).select(*map(named, docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents served at least once, with size, source_size, target, epochs, taken and finish in a struct ``mix``."""
+    """The mix: a row for each time a document is served, in order of virtual time; the struct ``mix`` tells size, target, epoch and time."""
     (outcome,) = fresh(docs.columns, "mix")
-    mixed = mixing.mix(docs, outcome=outcome)
-    return mixed.where(F.col(outcome)["epochs"] > 0).orderBy(F.col(outcome)["finish"])
+    return mixing.mixed_order(mixing.mix(docs, outcome=outcome), outcome)
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("substring_dedup", substring_stage), ("decontaminate", decontaminate_stage), ("mixing", mixing_stage)]

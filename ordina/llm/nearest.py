@@ -161,28 +161,38 @@ def _windows(half: int, k: int, every: int) -> Callable:
     return run
 
 
-def _ball(table: pa.Table) -> pa.Table:
-    v = matrix(table.column("v"))
+def _ball_of(v: np.ndarray) -> tuple[np.ndarray, float]:
     centre = v.mean(0)
-    return pa.table({"block": table.column("block").slice(0, 1), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([float(np.sqrt(((v - centre) ** 2).sum(1).max()))])})
+    return centre, float(np.sqrt(((v - centre) ** 2).sum(1).max()))
+
+
+def _ball(table: pa.Table) -> pa.Table:
+    centre, radius = _ball_of(matrix(table.column("v")))
+    return pa.table({"block": table.column("block").slice(0, 1), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius])})
+
+
+def _bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """By query and block: what no inner product with a vector of the block exceeds."""
+    bound = q @ centres.T + np.sqrt((q**2).sum(1))[:, None] * radii
+    return bound + 1e-9 * np.abs(bound) + 1e-9
 
 
-def _visits(balls: tuple[np.ndarray, np.ndarray, np.ndarray], chunks: int, every: int) -> Callable:
-    """A row for each query and block that could hold something above the query's floor."""
+def _visits(balls: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Callable:
+    """The pairs of chunk and block of which the block could hold something above the floor of one of the chunk's queries, once a batch."""
     blocks, centres, radii = balls
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q = matrix(batch.column("v"))
+            q, chunk = matrix(batch.column("v")), batch.column("chunk").to_numpy()
             floor = batch.column("floor").to_numpy(zero_copy_only=False)
-            for i in range(0, len(q), 256):
-                part = q[i : i + 256]
-                bound = part @ centres.T + np.sqrt((part**2).sum(1))[:, None] * radii
-                row, col = np.nonzero(bound * (1 + 1e-9) + 1e-9 >= floor[i : i + 256, None])
-                own = batch.slice(i, 256).take(pa.array(row))
-                yield pa.record_batch([own.column("id"), own.column("v"), own.column("floor"), pa.array(blocks[col]), pa.array(own.column("id").to_numpy() // every % chunks)], names=["id", "v", "floor", "block", "chunk"])
+            for c in np.unique(chunk):
+                own, met = np.flatnonzero(chunk == c), np.zeros(len(blocks), bool)
+                for i in range(0, len(own), 256):
+                    some = own[i : i + 256]
+                    met |= (_bounds(q[some], centres, radii) >= floor[some, None]).any(0)
+                yield pa.record_batch([pa.array(np.full(met.sum(), c)), pa.array(blocks[met])], names=["chunk", "block"])
 
     return run
 
@@ -193,11 +203,13 @@ def _tile(k: int) -> Callable:
         if rows.num_rows and queries.num_rows:
             v, ids = matrix(rows.column("v")), rows.column("id").to_numpy()
             q, own, floor = matrix(queries.column("v")), queries.column("id").to_numpy(), queries.column("floor").to_numpy()
-            for i in range(0, len(q), 128):
-                rough = q[i : i + 128] @ v.T
-                for j in range(len(rough)):
-                    found, score = _best(q[i + j], own[i + j], v, ids, rough[j], k, floor[i + j])
-                    out[0].append(np.full(len(found), own[i + j]))
+            centre, radius = _ball_of(v)
+            live = np.flatnonzero(_bounds(q, centre[None], np.array([radius]))[:, 0] >= floor)
+            for i in range(0, len(live), 128):
+                rough = q[live[i : i + 128]] @ v.T
+                for j, x in enumerate(live[i : i + 128]):
+                    found, score = _best(q[x], own[x], v, ids, rough[j], k, floor[x])
+                    out[0].append(np.full(len(found), own[x]))
                     out[1].append(found)
                     out[2].append(score)
         return pa.table({c: np.concatenate(x) for c, x in zip(("query", "id", "score"), out, strict=True)})
@@ -251,12 +263,15 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         balls = blocks.groupBy("block").applyInArrow(_ball, "block int, centre binary, radius double").collect()
         centres = np.array([np.frombuffer(b["centre"]) for b in balls])
         floors = found.groupBy("query").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s")).where(F.col("c") == k).select(F.col("query").alias("id"), F.col("s").alias("floor"))
-        queries = vectors.where(F.col("id") % every == 0)
-        chunks = max(1, -(-queries.count() // QUERIES))
+        # Queries go in chunks of neighbours on the curve, so that few blocks are visited by any of a chunk.
+        chunk = F.floor(F.col("block") / max(1, QUERIES * every // size)).cast("bigint")
+        queries = blocks.where(F.col("id") % every == 0).select(F.col("id").alias("id"), F.col("v").alias("v"), chunk.alias("chunk"))
         queries = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        visits = queries.mapInArrow(_visits((np.array([b["block"] for b in balls], np.int32), centres, np.array([b["radius"] for b in balls])), chunks, every), f"id bigint, v {kind}, floor double, block int, chunk bigint")
-        tiles = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
-        more = tiles.groupBy("block", "chunk").cogroup(visits.groupBy("block", "chunk")).applyInArrow(_tile(k), "query bigint, id bigint, score double")
+        shape = (np.array([b["block"] for b in balls], np.int32), centres, np.array([b["radius"] for b in balls]))
+        visits = materialise(queries.mapInArrow(_visits(shape), "chunk bigint, block int").distinct(), "visits")
+        # A block is copied for the chunks that visit it, a chunk for the blocks that it visits.
+        tiles, callers = blocks.join(visits, "block"), queries.join(visits, "chunk")
+        more = tiles.groupBy("block", "chunk").cogroup(callers.groupBy("block", "chunk")).applyInArrow(_tile(k), "query bigint, id bigint, score double")
         found = _ranked(found.unionByName(more), k)
     else:
         found = _ranked(found, k)

@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ordina.llm import nearest as N
 from ordina.llm.nearest import hilbert, nearest, products
 
 
@@ -72,3 +74,19 @@ def test_hilbert_steps_by_one(bits, dims):
     keys = hilbert(cells, bits)
     assert sorted(keys) == list(range(len(cells)))
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_small_blocks_and_chunks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 60)
+    monkeypatch.setattr(N, "QUERIES", 6)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 4)) * 6
+    rows = [(i, [float(x) for x in (centres[i % 12] + rng.normal(size=4) * 0.05).astype(np.float32)]) for i in range(900)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_chunks_visit_only_blocks_that_may_hold_more():
+    centres, radii = np.array([[1.0, 0.0], [-1.0, 0.0], [0.0, 1.0]]), np.array([0.1, 0.1, 0.1])
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([[1.0, 0.0], [0.0, 1.0]]), pa.array([7, 8]), pa.array([0.8, -np.inf])], names=["id", "v", "chunk", "floor"])
+    got = {(r["chunk"], r["block"]) for b in N._visits((np.arange(3, dtype=np.int32), centres, radii))(iter([batch])) for r in b.to_pylist()}
+    assert got == {(7, 0), (8, 0), (8, 1), (8, 2)}

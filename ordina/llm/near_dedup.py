@@ -3,10 +3,10 @@
 Many universal hash minima per document, banded; every bucket member is compared
 with the bucket's smallest id first (a star, never all pairs), candidates are
 verified on signatures and then confirmed on full shingle sets, and components
-come from alternating large-star and small-star rounds.  Buckets that still hold
-several components afterwards are compared exhaustively across components, block
-by block, so that a link between two members neither of which is the star's
-centre is found too.
+come from alternating large-star and small-star rounds.  In buckets that still
+hold several components afterwards, all members meet those outside of the largest
+component, tile by tile, first by signature and then by full sets, so that a link
+between two members neither of which is the star's centre is found too.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from ordina.llm.common import discard, lower_words, materialise, named
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 #: Ids up to this many go to the scan as a broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows on a side of a tile of a bucket: what a task holds at once of it.
+TILE = 256
 
 
 @dataclass(frozen=True)
@@ -149,56 +151,98 @@ def _confirm(cfg: MinHash) -> Callable:
     return run
 
 
-def _across(cfg: MinHash) -> Callable:
-    """Links between different components among each run of rows of equal (key, i, j), confirmed on full sets.
+class Tile:
+    """Rows of one part of a bucket: those on its left side meet those on its right side."""
+
+    def __init__(self, cfg: MinHash, cols: dict[str, list]) -> None:
+        self.cfg, self.band, self.pivot = cfg, cols["band"][0], cols["pivot"][0]
+        self.ids, self.comp, self.size = (np.array(cols[c], np.int64) for c in ("id", "comp", "n_shingles"))
+        self.major, left = np.array(cols["major"], bool), np.array(cols["side"]) == 0
+        self.sig = np.frombuffer(b"".join(cols["sig"]), np.uint32).reshape(len(self.ids), -1)
+        other = self.ids != self.pivot  # pairs with the pivot were looked at before
+        self.left, self.right = np.flatnonzero(left & other), np.flatnonzero(~left & other)
+        self.least = cfg.percent / 100 - cfg.slack
+
+    def near(self, p: int) -> np.ndarray:
+        """Rows on the right, of other components, that by size and signature may link with p. A pair is looked at once: under the first band it shares, from one side."""
+        q = self.right[self.comp[self.right] != self.comp[p]]
+        q = q[self.major[q] | (self.ids[q] > self.ids[p])]
+        q = q[100 * np.minimum(self.size[q], self.size[p]) >= self.cfg.percent * np.maximum(self.size[q], self.size[p])]
+        q = q[(self.sig[q] == self.sig[p]).mean(1) >= self.least]
+        if self.band and len(q):
+            width = self.band * self.cfg.rows
+            before = self.sig[q, :width] == self.sig[p, :width]
+            q = q[~before.reshape(len(q), self.band, self.cfg.rows).all(2).any(1)]
+        return q
 
-    A pair that shares several bands is looked at under the first of them only,
-    and no more once the run has joined its components; pairs with the bucket's
-    pivot were looked at before.
-    """
-    least = cfg.percent / 100 - cfg.slack
-
-    def links(rows: list) -> Iterator[tuple[int, int]]:
-        ids, comp, part, sizes = (np.array(x, np.int64) for x in ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [len(r[4]) for r in rows]))
-        band, pivot = rows[0][5], rows[0][6]
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
-        by_band = sig[:, : cfg.bands * cfg.rows].reshape(len(rows), cfg.bands, cfg.rows)
-        diagonal = (part == part[0]).all()
-        for p in range(len(rows)):
-            if ids[p] == pivot or (not diagonal and part[p] != part.min()):
-                continue
-            near = np.flatnonzero((comp != comp[p]) & (ids != pivot) & ((np.arange(len(rows)) > p) if diagonal else (part != part[p])))
-            near = near[100 * np.minimum(sizes[near], sizes[p]) >= cfg.percent * np.maximum(sizes[near], sizes[p])]
-            near = near[(sig[near] == sig[p]).mean(1) >= least]
-            if band and len(near):
-                near = near[~(by_band[near, :band] == by_band[p, :band]).all(2).any(1)]
-            own = np.frombuffer(rows[p][4], np.uint64)
-            for q in near:
-                if comp[q] != comp[p] and _similar(own, np.frombuffer(rows[q][4], np.uint64), cfg.percent):
-                    yield max(ids[p], ids[q]), min(ids[p], ids[q])
-                    comp[comp == comp[q]] = comp[p]
+
+_TILE_KEY = ("key", "i", "j")
+_TILE_ROW = ("id", "comp", "n_shingles", "major", "side", "band", "pivot")
+
+
+def _tiles(cfg: MinHash, found: Callable, *more: str) -> Callable:
+    """Calls found(tile, columns) for each run of rows of equal key, i, j; it returns a record batch or None."""
+    names = (*_TILE_KEY, *_TILE_ROW, "sig", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, cols = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if found := list(links(rows)) if len(rows) > 1 else []:
-                yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
+            if key is not None and (out := found(Tile(cfg, cols), cols)) is not None:
+                yield out
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                cols = [some.column(c).to_pylist() for c in ("key", "i", "j", "id", "comp", "part", "sig", "shingles", "band", "pivot")]
-                for k, i, j, *row in zip(*cols, strict=True):
-                    if (k, i, j) != key:
+                for row in zip(*(some.column(c).to_pylist() for c in names), strict=True):
+                    if row[:3] != key:
                         yield from flush()
-                        key, rows = (k, i, j), []
-                    rows.append(row)
+                        key, cols = row[:3], {c: [] for c in names}
+                    for c, v in zip(names, row, strict=True):
+                        cols[c].append(v)
         yield from flush()
 
     return run
 
 
+def _candidates(cfg: MinHash) -> Callable:
+    """The rows of each tile that by signature may link with one on the other side."""
+
+    def found(tile: Tile, cols: dict[str, list]) -> pa.RecordBatch | None:
+        keep: set[int] = set()
+        for p in tile.left:
+            if len(q := tile.near(p)):
+                keep.update((int(p), *q.tolist()))
+        if not keep:
+            return None
+        rows = sorted(keep)
+        names = [*_TILE_KEY, *_TILE_ROW]
+        return pa.record_batch([pa.array([cols[c][r] for r in rows], _TILE_TYPES[c]) for c in names], names=names)
+
+    return _tiles(cfg, found)
+
+
+_TILE_TYPES = {"key": pa.int64(), "i": pa.int32(), "j": pa.int32(), "id": pa.int64(), "comp": pa.int64(), "n_shingles": pa.int64(), "major": pa.bool_(), "side": pa.int32(), "band": pa.int32(), "pivot": pa.int64()}
+_TILE_SCHEMA = "key bigint, i int, j int, id bigint, comp bigint, n_shingles bigint, major boolean, side int, band int, pivot bigint"
+
+
+def _across(cfg: MinHash) -> Callable:
+    """Links between different components in each tile, confirmed on full sets; none more between components that the tile has joined."""
+
+    def found(tile: Tile, cols: dict[str, list]) -> pa.RecordBatch | None:
+        u, v = [], []
+        for p in tile.left:
+            own = np.frombuffer(cols["shingles"][p], np.uint64)
+            for q in tile.near(p):
+                if tile.comp[q] != tile.comp[p] and _similar(own, np.frombuffer(cols["shingles"][q], np.uint64), cfg.percent):
+                    u.append(max(tile.ids[p], tile.ids[q]))
+                    v.append(min(tile.ids[p], tile.ids[q]))
+                    tile.comp[tile.comp == tile.comp[q]] = tile.comp[p]
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]) if u else None
+
+    return _tiles(cfg, found, "shingles")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest of its neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -246,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketches = materialise(sketch(docs, id_col, text_col, cfg), "sketch")
     some = sketches.where("n_shingles > 0 and id is not null")
-    reps = materialise(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    reps = materialise(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
 
     def bands() -> DataFrame:
         width = 4 * cfg.rows
@@ -265,24 +309,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = materialise(signed.select("a", "b", "sa", "sb").mapInArrow(agreement("a", "b", cfg.percent / 100 - cfg.slack), "a bigint, b bigint"), "likely")
     links = _confirmed(docs, id_col, text_col, likely, cfg)
     first = connected_components(links.unionAll(bridged))
-
-    # Buckets that still hold several components: compare across them.
-    labelled = buckets.join(first.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("size > 2 and c1 < c2").select("key", "size")
-    block = 1024  # members of a block meet those of each other block, so larger ones mean fewer copies of a row
-    unsettled = materialise(labelled.join(open_keys, "key").select("key", "band", "pivot", "rep", "comp", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "unsettled")
+    discard(likely, links)
+
+    # Buckets that still hold several components: all members meet those outside of the largest, in tiles.
+    labelled = materialise(buckets.join(first.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
+    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top")).where(F.col("size") > F.greatest(F.lit(2), F.col("top.n")))
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    whole = whole.select("key", F.col("top.comp").alias("top"), blocks(F.col("size") - F.col("top.n")).alias("is"), blocks(F.col("size")).alias("js"))
+    members = materialise(labelled.join(whole, "key").select("key", "band", "pivot", F.col("rep").alias("id"), "comp", (F.col("comp") == F.col("top")).alias("major"), "is", "js"), "open")
     final = first
-    if not unsettled.isEmpty():
-        sets = _shingle_sets(docs, id_col, text_col, unsettled.select(F.col("rep").alias("id")).distinct(), cfg)
-        placed = unsettled.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumnRenamed("rep", "id")
-        full = placed.join(reps.select(F.col("rep").alias("id"), "sig"), "id").join(sets, "id")
-        full = full.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "comp", "part", "sig", "shingles", "band", "pivot")
-        late = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_across(cfg), "u bigint, v bigint").distinct()
-        late = materialise(late, "late")
-        discard(sets)
+    if not members.isEmpty():
+        dealt = lambda side, n: F.pmod(F.xxhash64(F.lit(side), "id"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = members.where("not major").select("key", dealt(0, "is").alias("i"), each("js").alias("j"), F.lit(0).alias("side"), "id", "comp", "major", "band", "pivot")
+        right = members.select("key", each("is").alias("i"), dealt(1, "js").alias("j"), F.lit(1).alias("side"), "id", "comp", "major", "band", "pivot")
+        known = reps.select(F.col("rep").alias("id"), "sig", "n_shingles")
+        tiled = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
+        likely = materialise(tiled(left.unionAll(right).join(known, "id")).mapInArrow(_candidates(cfg), _TILE_SCHEMA), "candidates")
+        sets = _shingle_sets(docs, id_col, text_col, likely.select("id").distinct(), cfg)
+        full = likely.join(known.select("id", "sig"), "id").join(sets, "id")
+        late = materialise(tiled(full).mapInArrow(_across(cfg), "u bigint, v bigint").distinct(), "late")
+        discard(sets, likely)
         if not late.isEmpty():
             final = connected_components(first.unionAll(late))
+        discard(late)
+    discard(buckets, labelled, members)
 
     comp = final.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
     out = sketches.select("id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(comp, "rep", "left")

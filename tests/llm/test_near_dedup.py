@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from ordina.llm import near_dedup
 from ordina.llm.near_dedup import MinHash, connected_components, near_duplicates, shingle_set
 
 
@@ -55,8 +56,10 @@ def test_equals_brute_force(spark, words, percent):
     assert run(spark, rows, MinHash(words=words, percent=percent)) == brute(rows, words, percent)
 
 
-def test_hot_group_of_near_copies(spark):
+@pytest.mark.parametrize("tile", [7, 256])
+def test_hot_group_of_near_copies(spark, monkeypatch, tile):
     """One group holds most rows; its members are similar to the hub more than to each other."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = [(500, " ".join(base))]
@@ -68,6 +71,22 @@ def test_hot_group_of_near_copies(spark):
     assert run(spark, rows, MinHash(words=3, percent=85)) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("tile", [5, 256])
+def test_bucket_of_many_components(spark, monkeypatch, tile):
+    """Members of a hot bucket lie around the threshold, so that it holds many components and links far from its smallest id."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        w = base[:]
+        for at in rng.sample(range(40, 90), rng.randrange(1, 4)):
+            w[at] = f"y{rng.randrange(6)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows, 3, 85)
+    assert 5 < len({r[2] for r in want}) < 155 and run(spark, rows, MinHash(words=3, percent=85)) == want
+
+
 def test_id_with_two_texts_joins_their_groups(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     got = run(spark, [(1, a), (2, b), (7, a), (7, b)], MinHash())

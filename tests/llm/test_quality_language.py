@@ -21,6 +21,66 @@ def test_pairs_in_linear_time_equal_all_pairs():
     assert m.score(index, value) == pytest.approx(1 / (1 + math.exp(-z)))
 
 
+def plain_features(text):
+    """Slots of the words and bins of the statistics of one text, with Python's own means."""
+    text = text or b""
+    words, lines = text.lower().split(), text.split(b"\n")
+    counts, n, chars = Counter(words), max(1, len(words)), max(1, len(text))
+    shares = [sum(quality._KINDS[b] == k for b in text) / chars for k in range(1, 11)]
+    shares += [len(counts) / n, max(counts.values(), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n, 1 - len(set(lines)) / len(lines), sum(w[-1:] in b".!?" for w in words) / n, min(1, len(lines) / n)]
+    bins = [sum(e < x for e in quality.EDGES) for x in shares] + [min(quality.BINS - 1, int(x * (quality.BINS - 1))) for x in (len(words).bit_length() / 20, len(text).bit_length() / 24, min(1, len(text) / n / 24))]
+
+    def slot(word):
+        h = sum((b + 1) * pow(quality._BASE, i, 1 << 64) for i, b in enumerate(word)) % (1 << 64)
+        h = (h ^ (h >> 32)) * quality._BASE % (1 << 64)
+        return (h ^ (h >> 29)) % quality.WORDS
+
+    slots = sorted({slot(w) for w in counts})
+    index = slots + [quality.WORDS + i * quality.BINS + b for i, b in enumerate(bins)]
+    return index, [1 / math.sqrt(max(1, len(slots)))] * len(slots) + [0.5] * len(bins)
+
+
+def test_features_equal_plain_ones(monkeypatch):
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choice(["the ", "The\t", "é", "x1 ", "\n", "same same ", "end. ", "| #", "\x0b", "\u00a0", "\n\n", "a, "]) for _ in range(rng.randrange(60))).encode()
+    texts = [None, b"", b" ", b"\n", b"one", *(make() for _ in range(60)), b"w " * 3000, None]
+    for chunk in (quality.CHUNK, 100):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        got = quality.features(texts)
+        index, value = np.split(got.index, got.starts[1:]), np.split(got.value, got.starts[1:])
+        assert len(index) == len(texts)
+        for text, i, v in zip(texts, index, value, strict=True):
+            want = plain_features(text)
+            assert i.tolist() == want[0] and np.allclose(v, want[1]), text
+
+
+def test_query_scores_equal_plain_scores(spark):
+    """Each text alone, its pairs summed one by one in double precision."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels)
+    got = {r.doc_id: (r.score, r.text) for r in quality.score_quality(docs, m).collect()}
+    assert len(got) == docs.count()
+    for score, text in list(got.values())[:40]:
+        index, value = plain_features(text.encode() if text is not None else None)
+        x, f = np.array(value), m.factors[index].astype(float)
+        gram = (f @ f.T) * np.outer(x, x)
+        z = m.bias + m.linear[index] @ x + (gram.sum() - np.trace(gram)) / 2
+        assert score == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, z)))), abs=1e-4)
+
+
+def test_sample_is_bounded_under_repeated_ids(spark):
+    docs = spark.range(400).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (0, 0)], "doc_id bigint, quality int")
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda rows, y, **more: seen.append((len(rows.starts), y.tolist())) or fit(rows, y, **more)
+        quality.train(docs, labels, held_out=9)
+    finally:
+        quality.fit = fit
+    assert seen == [(2, [0, 1])]
+
+
 @pytest.mark.parametrize("sf, least", [("sf0.01", 0.7), ("sf0.1", 0.95)])
 def test_held_out_quality(spark, sf, least):
     """sf0.01 has 11 held-out rows of label 0; the larger table has over a hundred."""

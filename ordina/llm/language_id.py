@@ -8,16 +8,17 @@ algorithm; expectation maximisation with the same sums fits the probabilities.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordina.llm.common import fold_of, fresh, named
 
+#: Where the public vocabulary lies unless ``vocabulary`` says otherwise; only the driver reads it.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
 LONGEST = 16
@@ -169,7 +170,7 @@ class Unigrams:
         """texts x languages; the words met first, and so the frequent ones, stay known between calls."""
         if self.rows is None:
             self.rows = np.zeros((0, len(self.languages)))
-        words = [(text or "").lower().split() for text in texts]
+        words = [words_of(text) for text in texts]
         known, passing = self.kept, {}
         if len(known) < KEPT_WORDS:
             numbers = [[known.setdefault(w, len(known)) for w in ws] for ws in words]
@@ -184,7 +185,7 @@ class Unigrams:
 
 
 def fit(counts: dict[str, Counter], pieces: Iterable[str], rounds: int = 3, smooth: float = 0.05) -> Unigrams:
-    """counts: words of each language. Pieces that fit in no word get the smoothing's share alone."""
+    """counts: words of each language. Pieces that fit in none of the words aren't kept; where they fit elsewhere, shorter ones do, down to single characters."""
     languages = sorted(counts)
     words = sorted({w for c in counts.values() for w in c}, key=lambda w: (len(w), w))
     spelled = [START + w for w in words]
@@ -226,19 +227,36 @@ def fit(counts: dict[str, Counter], pieces: Iterable[str], rounds: int = 3, smoo
     return Unigrams(languages, {w: i for i, w in enumerate(used, 1)}, p, np.full(len(languages), 1 / max(1, len(languages))), lexicon)
 
 
+def words_of(text: str | None) -> list[str]:
+    """What fitting and scoring take for words: lower-cased runs without white space."""
+    return (text or "").lower().split()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: dict[str, Counter] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            counts.setdefault(lang, Counter()).update(words_of(text))
+        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, sample: int = 300, vocabulary: str = VOCABULARY) -> Unigrams:
     """Fits on at most ``sample`` documents of a language, those of the smallest id hashes whose fold isn't ``held_out``.
 
-    Documents without text, language or id aren't used.
+    Documents without text, language or id aren't used; of those that share id and
+    language, one is: that of the smallest text.  The table is read twice, once for
+    the ids; the words of the sample come to the driver.
     """
     some = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
     some = some.where(fold_of("id", folds) != held_out)
-    counts: dict[str, Counter] = {}
-    for (lang,) in some.select("lang").distinct().collect():
-        ids = some.where(F.col("lang") == lang).select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
-        texts = some.where(F.col("lang") == lang).join(F.broadcast(ids.distinct()), "id", "left_semi")
-        tokens = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-        counts[lang] = Counter({r["word"]: r["n"] for r in tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()})
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))  # limited before the shuffle
+    ids = some.select("lang", "id").withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "id").distinct()
+    texts = some.join(F.broadcast(ids), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    counted = texts.select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts: dict[str, Counter] = {lang: Counter() for (lang,) in ids.select("lang").distinct().collect()}
+    for r in counted.collect():
+        counts[r["lang"]][r["word"]] = r["n"]
     return fit(counts, load_pieces(vocabulary))
 
 

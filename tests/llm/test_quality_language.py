@@ -163,6 +163,41 @@ def test_held_out_language(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_log_sum(word, model, k):
+    """The logarithm of the sum over all segmentations, one position after the other."""
+    word = language_id.START + word
+    alpha = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        terms = [alpha[i] + math.log(model.p[n, k]) for i in range(max(0, j - language_id.LONGEST), j) if (n := model.ids.get(word[i:j], 0 if j - i == 1 else None)) is not None]
+        top = max(terms)
+        alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return alpha[-1]
+
+
+def test_query_scores_equal_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = language_id.train(docs, sample=20)
+    rows = language_id.identify(docs.where("length(text) < 1500"), m).select("text", "language.*").limit(25).collect()
+    for r in rows:
+        z = [math.log(m.prior[k]) + sum(plain_log_sum(w, m, k) for w in r.text.lower().split()) for k in range(len(m.languages))]
+        p = np.exp(np.array(z) - max(z))
+        p /= p.sum()
+        if any(map(str.isalpha, r.text)):
+            assert r.lang_pred == m.languages[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-6)
+
+
+def test_language_sample_reads_white_space_as_scoring_does(spark):
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(["ab\u00a0cd", "ef\u3000gh", "ab"] * 3)] + [(0, "zz", "aa"), (1, "ef\u3000gh", "aa")], "doc_id bigint, text string, lang string")
+    seen = []
+    fit = language_id.fit
+    try:
+        language_id.fit = lambda counts, pieces: seen.append(counts) or fit(counts, pieces)
+        language_id.train(docs, held_out=9)
+    finally:
+        language_id.fit = fit
+    assert seen == [{"aa": Counter({"ab": 6, "cd": 3, "ef": 3, "gh": 3})}]
+
+
 def test_language_edge_rows(spark):
     docs = spark.createDataFrame([(1, "ab ab c", "aa"), (3, None, "aa"), (4, "", None), (5, "12 34!", "bb"), (6, "bc " * 50_000, "bb"), (None, "ab", None), (1, "ab ab c", "aa")], "doc_id bigint, text string, lang string").withColumn("language", F.lit(1))
     got = {(r.doc_id, r.text and r.text[:3]): r.language_ for r in language_id.identify(docs, language_id.train(docs)).collect()}

@@ -61,3 +61,30 @@ def gcd(a: Column, b: Column, steps: int = 48) -> Column:
     start = F.struct(F.greatest(a, b).cast("bigint").alias("x"), F.least(a, b).cast("bigint").alias("y"))
     step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, s["y"]).otherwise(s["x"] % F.nullif(s["y"], F.lit(0))).alias("y"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["x"])
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, all other characters kept."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _low_product(a: Column, m: int) -> Column:
+    """a * m modulo 2**32, for a of at most 32 bits."""
+    m &= (1 << 32) - 1
+    high = F.shiftleft((a * F.lit(m >> 16).cast("bigint")).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (a * F.lit(m & 0xFFFF).cast("bigint") + high).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def wrapping_mul(a: Column, m: int) -> Column:
+    """a * m modulo 2**64 as the bits of a bigint; nothing overflows on the way, so ANSI mode doesn't raise."""
+    m &= (1 << 64) - 1
+    low, high = a.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(a, 32)
+    t0, t1 = low * F.lit(m & 0xFFFF).cast("bigint"), low * F.lit(m >> 16 & 0xFFFF).cast("bigint")
+    bottom = t0.bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftleft(t1.bitwiseAND(F.lit(0xFFFF)), 16)
+    top = F.shiftrightunsigned(t0, 32) + F.shiftrightunsigned(t1, 16) + F.shiftrightunsigned(bottom, 32) + _low_product(low, m >> 32) + _low_product(high, m)
+    return F.shiftleft(top, 32).bitwiseOR(bottom.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def unsigned_mod(bits: Column, m: int) -> Column:
+    """The remainder of a bigint's bits read as an unsigned number."""
+    return F.pmod(F.pmod(bits, F.lit(m).cast("bigint")) + F.when(bits < 0, F.lit((1 << 64) % m).cast("bigint")).otherwise(F.lit(0).cast("bigint")), F.lit(m).cast("bigint"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def apply_chunks(df: DataFrame, pos: str, f: Callable[..., Any], schema: str) -> DataFrame:
@@ -18,18 +17,8 @@ def apply_chunks(df: DataFrame, pos: str, f: Callable[..., Any], schema: str) ->
     return df.groupBy("chunk_id").applyInPandas(run, schema)
 
 
-def iterate(df: DataFrame, pos: str, size: int) -> Iterator[list]:
-    """Lists of at most ``size`` rows in order; a size below 1 counts as 1. Streams a partition at a time."""
-    size, chunk = max(1, size), []
-    for r in df.orderBy(pos).toLocalIterator():
-        chunk.append(r)
-        if len(chunk) == size:
-            yield chunk
-            chunk = []
-    if chunk:
-        yield chunk
+def apply_empty(df: DataFrame, f: Callable[..., Any], schema: str) -> DataFrame:
+    """What f makes of chunk 0 without rows; it runs on the driver."""
+    import pandas as pd
 
-
-def first_after(df: DataFrame, pos: str, size: int) -> DataFrame:
-    """The position at which each chunk of the given size begins, and how many rows it has."""
-    return df.groupBy(F.floor(F.col(pos) / size).cast("bigint").alias("chunk_id")).agg(F.min(pos).alias("start"), F.count(F.lit(1)).alias("rows"))
+    return df.sparkSession.createDataFrame(f(0, pd.DataFrame(columns=[*df.columns, "chunk_id"])), schema)

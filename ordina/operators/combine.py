@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +38,21 @@ def both(left: Callable[[], Any], right: Callable[[], Any]) -> tuple[Any, Any]:
     return a.result(), b.result()
 
 
+def task_stats(spark: SparkSession, job: Callable[[], Any]) -> tuple[int, int, int]:
+    """Runs the job and counts the tasks that its stages had, those that completed and those that failed."""
+    context, group = spark.sparkContext, f"stats-{uuid.uuid4().hex}"
+    before = context.getLocalProperty("spark.jobGroup.id")
+    context.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        job()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", before)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    infos = [i for i in map(tracker.getStageInfo, stages) if i is not None]
+    return sum(i.numTasks for i in infos), sum(i.numCompletedTasks for i in infos), sum(i.numFailedTasks for i in infos)
+
+
 def lookup(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Each key with the table's values, null where it has none."""
     return keys.join(table, key, "left")
@@ -50,6 +66,28 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFram
     return every.groupBy(key).agg(last.alias("v")).select(key, *(F.col("v")[c].alias(c) for c in values))
 
 
+def previous_values(table: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:
+    """What each put returns: the changes with a struct ``previous``, the key's value before it, null for a new key."""
+    values = [c for c in table.columns if c != key]
+    every = table.withColumn(seq, F.lit(None).cast(changes.schema[seq].dataType)).unionByName(changes)
+    before = F.lag(F.struct(*values)).over(Window.partitionBy(key).orderBy(F.col(seq).asc_nulls_first()))
+    return every.withColumn("previous", before).where(F.col(seq).isNotNull())
+
+
+def contains(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Each key with ``found``: whether the table has it. A null key isn't found."""
+    return keys.join(table.select(key).distinct().withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def size(table: DataFrame) -> DataFrame:
+    return table.agg(F.count(F.lit(1)).alias("len"))
+
+
+def for_each_value(table: DataFrame, key: str, f: Callable[[Column], Column]) -> DataFrame:
+    """The table with f applied to each value."""
+    return table.select(key, *(f(F.col(c)).alias(c) for c in table.columns if c != key))
+
+
 def remove(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys, key, "left_anti")
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordina.functions.reducers import Reducer
 
+
 def exact_product(df: DataFrame, v: Column, dtype: str) -> DataFrame:
     """Product of integers without rounding, 1 for no rows; out of range raises.
 
@@ -30,23 +33,35 @@ def exact_product(df: DataFrame, v: Column, dtype: str) -> DataFrame:
     return signs.crossJoin(F.broadcast(listed)).select((F.when(F.col("negative") % 2 == 1, -size).otherwise(size)).cast(dtype).alias("product"))
 
 
+def known_reduce(df: DataFrame, v: Column, dtype: str, reducer: Reducer) -> Any:
+    """Reduces by the built-in aggregate of the reducer's kind; its identity for no rows. Nulls are skipped."""
+    if reducer.kind == "product" and dtype not in ("float", "double"):
+        return exact_product(df, v, dtype).first()[0]
+    best = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max, "all": F.bool_and, "any": F.bool_or}[reducer.kind](v)
+    found = df.agg(best.alias("r")).first()[0]
+    return reducer.identity if found is None else found
+
+
 def tree_reduce(df: DataFrame, pos: str, v: Column, reducer: Reducer) -> Any:
-    """Reduces with any associative function, whether or not it commutes.
+    """Reduces with any associative function, whether or not it commutes. Nulls are skipped; structs come as dicts.
 
     Partitions of the range-sorted rows fold in order, a partial result each; the
     few partial results are combined in order of their partitions.
     """
-    ordered = df.select(F.col(pos).alias("pos"), v.alias("v")).repartitionByRange("pos").sortWithinPartitions("pos")
-
-    def part(rows: Iterator) -> Iterator[tuple[int, Any]]:
-        first, total, some = None, reducer.identity, False
-        for r in rows:
-            first, total, some = (r[0] if first is None else first), reducer.combine(total, r[1]), True
-        if some:
-            yield first, total
-
-    partial = sorted(ordered.rdd.mapPartitions(part).collect(), key=lambda x: x[0])  # an element for each partition
-    return reducer.reduce_values(x for _, x in partial)
+    ordered = df.select(F.col(pos).cast("bigint").alias("pos"), v.alias("v")).where("v is not null").repartitionByRange("pos").sortWithinPartitions("pos")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = None, reducer.identity
+        for batch in batches:
+            if batch.num_rows and first is None:
+                first = batch.column("pos")[0].as_py()
+            for x in batch.column("v").to_pylist():
+                total = reducer.combine(total, x)
+        if first is not None:
+            yield pa.record_batch([pa.array([first], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["pos", "total"])
+
+    partial = ordered.mapInArrow(part, "pos bigint, total binary").collect()  # a row for each partition
+    return reducer.reduce_values(pickle.loads(r["total"]) for r in sorted(partial, key=lambda r: r["pos"]))
 
 
 def ordered_fold(df: DataFrame, pos: str, v: Column, init: Any, f: Callable[[Any, Any], Any]) -> Any:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,18 @@ def discard(*tables: DataFrame) -> None:
             _written[:] = [(s, p) for s, p in _written if p != path]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written meanwhile: for long sessions, once results have been read."""
+    before = {path for _, path in _written}
+    try:
+        yield
+    finally:
+        for own, path in [x for x in _written if x[0] is spark and x[1] not in before]:
+            delete_path(own, path)
+            _written.remove((own, path))
+
+
 @atexit.register
 def _discard_all() -> None:
     for spark, path in _written:

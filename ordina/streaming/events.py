@@ -20,10 +20,34 @@ def window_counts(events: DataFrame, ts: str, kind: str, length: str = "1 day")
     return events.groupBy(at.alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def counters(events: DataFrame, kind: str, flags: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
-    """A column of counts for each kind, but whether it occurred for flags; one pass for all."""
-    kinds = [r[0] for r in events.select(kind).distinct().orderBy(kind).collect()]
-    return events.groupBy(*by).agg(*(F.coalesce(F.bool_or(F.col(kind) == k), F.lit(False)).alias(k) if k in flags else F.count_if(F.col(kind) == k).alias(k) for k in kinds))
+#: Kinds that are looked for if none are named; more are a mistake, as each makes a column.
+KINDS = 256
+
+
+def counters(events: DataFrame, kind: str, flags: tuple[str, ...] = (), by: tuple[str, ...] = (), small: tuple[str, ...] = (), kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """A column of counts for each kind, but whether it occurred for flags, and counts modulo 256 for small ones; one pass for all.
+
+    Kinds that aren't named are looked up first; over KINDS of them raise.
+    """
+    if kinds is None:
+        found = [r[0] for r in events.select(kind).where(F.col(kind).isNotNull()).distinct().limit(KINDS + 1).collect()]
+        if len(found) > KINDS:
+            raise ValueError("too many kinds for a column each: name those wanted")
+        kinds = tuple(sorted(found))
+
+    def counter(k: str) -> Column:
+        if k in flags:
+            return F.coalesce(F.bool_or(F.col(kind) == k), F.lit(False)).alias(k)
+        n = F.count_if(F.col(kind) == k)
+        return (n % 256 if k in small else n).alias(k)
+
+    return events.groupBy(*by).agg(*map(counter, kinds))
+
+
+def reset_stats(stats: DataFrame, keep: tuple[str, ...], generation: str = "generation") -> DataFrame:
+    """A new generation with all counters at zero; the flags in ``keep`` stay as they are."""
+    zero = {c: F.lit(0).cast(t) if t != "boolean" else F.lit(False) for c, t in stats.dtypes if c not in keep and c != generation}
+    return stats.select(*((F.col(c) + 1).alias(c) if c == generation else zero[c].alias(c) if c in zero else F.col(c) for c in stats.columns))
 
 
 def generations(events: DataFrame, ts: str, start: Column, length_s: int) -> DataFrame:

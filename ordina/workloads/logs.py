@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordina.functions.scalar import unsigned_mod, wrapping_mul
+
 #: Fixed values of the generator and the queries.
 MULTIPLIER = 2654435761
 START_MS = 1700000000000
-LEVELS = ("debug", "info", "warn", "err", "critical")
 SLOW_US = 1_000_000
 
 
-def generate(spark: SparkSession, n: int) -> DataFrame:
-    """n entries by position. The seed stays within a bigint up to 3.4e9 entries; beyond, ANSI arithmetic raises."""
-    s = spark.range(n).select(F.col("id").alias("pos"), (F.col("id") * F.lit(MULTIPLIER)).alias("seed"))
-    band = F.shiftright("seed", 24) % 100
+def generate(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
+    """n entries by position from ``start`` on; the seed wraps at 64 bits and is read as unsigned."""
+    fast, wraps = F.col("id") * F.lit(MULTIPLIER), (2**63 - 1) // MULTIPLIER
+    seed = fast if start + n <= wraps else F.when(F.col("id") <= wraps, fast).otherwise(wrapping_mul(F.col("id"), MULTIPLIER))
+    rest = (lambda m: F.col("seed") % m) if start + n <= wraps else (lambda m: unsigned_mod(F.col("seed"), m))
+    s = spark.range(start, start + n).select(F.col("id").alias("pos"), seed.alias("seed"))
+    band = F.shiftrightunsigned("seed", 24) % 100
     level = F.when(band < 50, 1).when(band < 75, 0).when(band < 90, 2).when(band < 98, 3).otherwise(4)
     return s.select(
-        "pos", (F.lit(START_MS) + F.col("pos")).alias("timestamp"), level.alias("level"), (F.col("seed") % 64).cast("int").alias("thread_id"), F.col("seed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("message_hash"),
-        (F.col("seed") % 2_000_000 + 1000).alias("response_time_us"), (F.col("seed") % 1000 < 5).alias("is_security_event"), (F.col("seed") % 100_000).alias("user_id"),
+        "pos", (F.lit(START_MS) + F.col("pos")).alias("timestamp"), level.alias("level"), rest(64).cast("int").alias("thread_id"), F.col("seed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("message_hash"),
+        (rest(2_000_000) + 1000).alias("response_time_us"), (rest(1000) < 5).alias("is_security_event"), rest(100_000).alias("user_id"),
     )
 
 

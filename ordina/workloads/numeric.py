@@ -52,7 +52,7 @@ def fibonacci(spark: SparkSession, n: int) -> DataFrame:
 
 
 def factorials(spark: SparkSession, n: int) -> DataFrame:
-    """k! for k up to n. Decimals hold 33!; larger numbers raise rather than wrap."""
+    """k! for k up to n <= 33, which decimals hold; see wrapped_factorials for more."""
     if n > 33:
         raise ValueError("decimals are exact up to 33!")
     k = F.col("id").cast("int")
@@ -60,6 +60,24 @@ def factorials(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n + 1).select(k.alias("k"), fact.alias("fact"))
 
 
+def wrapped_factorials(spark: SparkSession, n: int) -> DataFrame:
+    """k! modulo 2**128 as 32 hex digits, for k up to n < 2**31: four limbs of 32 bits, multiplied in a fold."""
+    names, mask = ("a", "b", "c", "d"), F.lit(0xFFFFFFFF)  # the lowest first
+
+    def times(limbs: Column, x: Column) -> Column:
+        out, carry = [], F.lit(0).cast("bigint")
+        for c in names:
+            product = limbs[c] * x + carry
+            out.append(product.bitwiseAND(mask).alias(c))
+            carry = F.shiftrightunsigned(product, 32)
+        return F.struct(*out)
+
+    one = F.struct(F.lit(1).cast("bigint").alias("a"), *(F.lit(0).cast("bigint").alias(c) for c in names[1:]))
+    limbs = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("id"), F.lit(1))), one, times)
+    digits = F.concat(*(F.lpad(F.hex(F.col("limbs")[c]), 8, "0") for c in reversed(names)))
+    return spark.range(n + 1).select(F.col("id").alias("k"), limbs.alias("limbs")).select("k", digits.alias("fact"))
+
+
 def monte_carlo_pi(spark: SparkSession, samples: int, chunks: int = 64) -> DataFrame:
     """Estimate of pi from points that are hashes of (chunk seed, number), so reruns agree."""
     u = lambda k: F.pmod(F.xxhash64(F.col("id") % chunks * 12345 + 67890, F.col("id"), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
@@ -106,10 +124,22 @@ def life(cells: DataFrame, rows: int, cols: int, steps: int) -> DataFrame:
     return now
 
 
-def drift(bodies: DataFrame, dt: float, steps: int = 1) -> DataFrame:
-    """Positions after steps of constant velocity."""
-    return bodies.withColumns({p: F.col(p) + F.col("v" + p) * (dt * steps) for p in ("x", "y", "z")})
+#: Fixed values of the body simulation: the kick of a step is KICK * mass.
+KICK, STEP = 0.001 / 1e10, 0.01
+
+
+def kick_drift(bodies: DataFrame, steps: int, dt: float = STEP) -> DataFrame:
+    """Steps of a kick of each velocity and a drift by it. A body depends on none but itself, so the steps add up in one pass."""
+    kick = F.lit(KICK) * F.col("mass")
+    moved = {p: F.col(p) + dt * (steps * F.col("v" + p) + kick * (steps * (steps + 1) / 2)) for p in ("x", "y", "z")}
+    return bodies.withColumns(moved | {"v" + p: F.col("v" + p) + steps * kick for p in ("x", "y", "z")})
 
 
 def kinetic_energy(bodies: DataFrame) -> DataFrame:
     return bodies.agg(F.sum(0.5 * F.col("mass") * (F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)).alias("energy"))
+
+
+def seeded_integers(spark: SparkSession, n: int, seed: int = 12345) -> DataFrame:
+    """n integers of 31 bits by position, by two steps of a linear congruence."""
+    step = lambda x: (x * F.lit(1103515245).cast("bigint") + 12345) % F.lit(1 << 31)
+    return spark.range(n).select(F.col("id").alias("pos"), step(step((F.col("id") * 2654435 + seed) % F.lit(1 << 31))).alias("v"))

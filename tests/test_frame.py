@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ordina.frame import Ordered, with_pos
 from ordina.functions.reducers import Reducer
 from ordina.operators import combine, folds, ordering, rowwise
+from ordina.plans.scratch import materialise, scratch
 from ordina.plans.splitter import Splitter
 
 
@@ -179,3 +180,113 @@ def test_maps(spark):
 def test_rowwise_names_survive(spark):
     df = spark.createDataFrame([(0, 5, "x")], "pos bigint, v int, extra string")
     assert rowwise.reverse(df, "pos").columns == ["pos", "v", "extra"]
+
+
+def test_positions_after_a_filter(spark, ten):
+    """What goes by position sees the rows that are left as 0, 1, 2, ..."""
+    even = ten.filter(F.col("v") % 2 == 0)
+    assert rows(even.take(3).df) == [2, 4, 6] and rows(even.skip(3).df) == [8, 10]
+    assert one(even.nth(0).select("v")) == 2 and one(even.nth(4).select("v")) == 10 and even.nth(5).isEmpty()
+    assert [(r.pos, r.v) for r in even.step_by(2).df.orderBy("pos").collect()] == [(0, 2), (1, 6), (2, 10)]
+    assert rows(even.step_for_each(2, v=F.lit(0).cast("bigint")).df) == [0, 4, 0, 8, 0]
+    assert [(r.pos, r.v) for r in even.rev().df.orderBy("pos").collect()] == [(0, 10), (1, 8), (2, 6), (3, 4), (4, 2)]
+    assert [(r.pos, r["first"], r.second) for r in even.zip(of(spark, [7, 8, 9])).orderBy("pos").collect()] == [(0, 2, 7), (1, 4, 8), (2, 6, 9)]
+    assert [(r.pos, r.v) for r in even.chain(even).df.orderBy("pos").collect()] == list(enumerate([2, 4, 6, 8, 10] * 2))
+    assert [(r.e["index"], r.e.value) for r in even.enumerate("e").orderBy("e.index").collect()] == list(enumerate([2, 4, 6, 8, 10]))
+    assert one(even.position(F.col("v") == 6)) == 2
+    assert rows(even.map_indexed(v=lambda i, v: i * 100 + v).df) == [2, 104, 206, 308, 410]
+    assert {r.chunk_id: r.s for r in even.with_splitter(Splitter.fixed(2)).with_workers(1).chunks_agg(F.sum("v").alias("s")).collect()} == {0: 6, 1: 14, 2: 10}
+    a, b = ten.partition(F.col("v") > 7)
+    assert rows(a.take(2).df) == [8, 9] and rows(b.skip(5).df) == [6, 7]
+    assert rows(ten.filter_map("v", F.when(F.col("v") > 5, F.col("v"))).take(1).df) == [6]
+    assert rows(even.filter(F.col("v") > 4).take(1).df) == [6]
+
+
+def test_comparators(spark):
+    o = of(spark, [3, 1, 4, 1, 5, 9, 9, None])
+    less = lambda a, b: a < b
+    assert o.min_by(less).first().asDict() == {"pos": 1, "v": 1} and of(spark, []).min_by(less).isEmpty()
+    assert of(spark, [3, 9, 9, 1]).max_by(less).first().pos == 1
+    many = Ordered.range(spark, 0, 5000)
+    odd_first = lambda a, b: (a % 7 > b % 7) | ((a % 7 == b % 7) & (a > b))
+    want = sorted(range(5000), key=lambda v: (-(v % 7), -v))
+    assert one(many.min_by(odd_first).select("v")) == want[0] and one(many.max_by(odd_first).select("v")) == want[-1]
+    by_mod = lambda a, b: a % 5 < b % 5
+    assert one(many.min_by(by_mod).select("v")) == 0 and one(many.max_by(by_mod).select("v")) == 4
+    for per_part in (10_000, 300):
+        got = ordering.comparator_sort(many.df, "pos", lambda a, b: odd_first(a["v"], b["v"]), rows_per_part=per_part).orderBy("pos").collect()
+        assert [r.v for r in got] == want and [r.pos for r in got] == list(range(5000))
+        ties = ordering.comparator_sort(many.df, "pos", lambda a, b: by_mod(a["v"], b["v"]), rows_per_part=per_part).orderBy("pos").collect()
+        assert [r.v for r in ties] == sorted(range(5000), key=lambda v: v % 5)
+    assert rows(of(spark, [5]).sort_by(less).df) == [5] and of(spark, []).sort_by(less).df.isEmpty()
+    two = spark.createDataFrame([(0, 2, "b"), (1, 1, "z"), (2, 2, "a")], "pos bigint, k int, s string")
+    assert [r.s for r in Ordered.of(two).sort_by(lambda a, b: (a["k"] < b["k"]) | ((a["k"] == b["k"]) & (a["s"] < b["s"]))).df.orderBy("pos").collect()] == ["z", "a", "b"]
+
+
+def test_known_reducers_and_nulls(spark):
+    o = of(spark, [4, None, 6])
+    assert (o.reduce(Reducer.sum()), o.reduce(Reducer.product()), o.reduce(Reducer.min("int")), o.reduce(Reducer.max("int"))) == (10, 24, 4, 6)
+    b = of(spark, [True, None], "boolean")
+    assert (b.reduce(Reducer.all()), b.reduce(Reducer.any())) == (True, True)
+    none = of(spark, [])
+    assert (none.reduce(Reducer.sum()), none.reduce(Reducer.product()), none.reduce(Reducer.min("int")), of(spark, [], "boolean").reduce(Reducer.all())) == (0, 1, 2**31 - 1, True)
+    assert of(spark, ["x", None, "y"], "string").reduce(Reducer("", lambda a, b: a + b)) == "xy"
+    assert of(spark, [1.5, 2.0], "double").reduce(Reducer.product()) == 3.0
+
+
+def test_empty_chunks_are_one_call(spark):
+    import pandas as pd
+
+    f = lambda i, r: pd.DataFrame({"i": [i], "n": [len(r)]})
+    assert [tuple(r) for r in of(spark, []).chunks(f, "i int, n int").collect()] == [(0, 0)]
+    assert [tuple(r) for r in Ordered.range(spark, 0, 9).filter(F.col("v") > 99).chunks(f, "i int, n int").collect()] == [(0, 0)]
+
+
+def test_cursors(spark):
+    c = Ordered.range(spark, 0, 10).iter_chunks(4)
+    assert c.remaining() == 10 and [r.v for r in c.next()] == [0, 1, 2, 3] and c.remaining() == 6
+    assert [len(x) for x in c] == [4, 2] and c.next() is None and c.remaining() == 0
+    c.reset()
+    assert c.remaining() == 10 and len(c.next()) == 4
+    assert [len(x) for x in Ordered.range(spark, 0, 3).iter_chunks(0)] == [1, 1, 1]
+    s = Ordered.range(spark, 0, 10).steps(3)
+    assert (s.next().v, s.next().v) == (0, 3) and rows(s.collect()) == [6, 9] and s.next() is None
+    s.reset()
+    assert [r.v for r in s] == [0, 3, 6, 9] and s.next() is None
+    assert [r.v for r in Ordered.range(spark, 1, 11).filter(F.col("v") % 2 == 0).steps(2)] == [2, 6, 10]
+
+
+def test_pool_holds_only_meanwhile(spark):
+    o = Ordered.range(spark, 0, 3).with_pool("fast")
+    get = lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    before = get()
+    with o.in_pool():
+        assert get() == "fast"
+    assert get() == before and o.len() == 3 and get() == before
+
+
+def test_map_operations(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    changes = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "k string, v int, seq int")
+    got = {(r.k, r.seq): r.previous and r.previous.v for r in combine.previous_values(t, changes, "k", "seq").collect()}
+    assert got == {("b", 1): 2, ("b", 2): 3, ("c", 1): None}
+    keys = spark.createDataFrame([("a",), ("z",), (None,)], "k string")
+    assert {r.k: r.found for r in combine.contains(keys, t, "k").collect()} == {"a": True, "z": False, None: False}
+    assert one(combine.size(t)) == 2 and {r.k: r.v for r in combine.for_each_value(t, "k", lambda v: v * 10).collect()} == {"a": 10, "b": 20}
+
+
+def test_ties_are_cut(spark):
+    """A frequent key doesn't land in one partition if its rows differ."""
+    df = spark.range(0, 20_000, 1, 8).select(F.lit(1).alias("k"), "id")
+    got = with_pos(df, [F.col("k")])
+    assert sorted(r.pos for r in got.select("pos").collect()) == list(range(20_000))
+    sizes = [r[0] for r in df.repartitionByRange(4, "k", F.xxhash64("k", "id")).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 4 and max(sizes) < 10_000
+
+
+def test_scratch_scope_deletes(spark):
+    with scratch(spark):
+        kept = materialise(spark.range(3), "x")
+        assert kept.count() == 3
+    with pytest.raises(Exception, match="FILE|exist|PATH|FAILED"):
+        kept.count()

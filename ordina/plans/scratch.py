@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,13 +57,18 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was written meanwhile: for long sessions, once results have been read."""
-    before = {path for _, path in _written}
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was written meanwhile, but for tables given to the function it yields: for results that were read or written."""
+    before, kept = {path for _, path in _written}, set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(getattr(table, "_ordina_path", None))
+        return table
+
     try:
-        yield
+        yield keep
     finally:
-        for own, path in [x for x in _written if x[0] is spark and x[1] not in before]:
+        for own, path in [x for x in _written if x[0] is spark and x[1] not in before and x[1] not in kept]:
             delete_path(own, path)
             _written.remove((own, path))
 

@@ -285,8 +285,9 @@ def test_ties_are_cut(spark):
 
 
 def test_scratch_scope_deletes(spark):
-    with scratch(spark):
-        kept = materialise(spark.range(3), "x")
-        assert kept.count() == 3
+    with scratch(spark) as keep:
+        gone, kept = materialise(spark.range(3), "x"), keep(materialise(spark.range(4), "x"))
+        assert gone.count() == 3
     with pytest.raises(Exception, match="FILE|exist|PATH|FAILED"):
-        kept.count()
+        gone.count()
+    assert kept.count() == 4

@@ -22,7 +22,7 @@ from ordina.llm.common import fresh, named, row_key
 
 #: What ends a unit when a space follows.
 ENDS = (".", "!", "?", ",", ";", ":")
-#: Digests that a task remembers in order to send a frequent one only once; a bound on memory, without effect on results.
+#: Digests that a task remembers before it starts anew, in order to send a frequent one seldom; a bound on memory, without effect on results.
 MEMO = 200_000
 #: Added to the number of a line's first unit where the line as a whole is meant.
 LINE = 1 << 30
@@ -70,7 +70,9 @@ def _digests(whole_lines: bool) -> Callable:
                         rank = (doc is None, doc or 0, row, i)
                         known = first.get(d)
                         seen = known is not None and known < rank
-                        if not seen and (known is not None or len(first) < MEMO):
+                        if not seen:
+                            if known is None and len(first) >= MEMO:
+                                first.clear()  # a frequent one is soon known again
                             first[d] = rank
                         ids.append(doc)
                         rows.append(row)
@@ -94,7 +96,7 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, whole_lines: boo
     """
     src = docs.select(named(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("row"), named(text_col).alias("text"))
     found = src.mapInArrow(_digests(whole_lines), "id bigint, row bigint, unit int, k1 bigint, k2 bigint, later boolean")
-    # What a task already knows to be later only passes through, dealt by its own place: a frequent unit arrives once a task.
+    # What a task already knows to be later only passes through, dealt by its own place: a frequent unit arrives once a task and memory.
     key = [F.when(F.col("later"), F.xxhash64("id", "row", "unit")).otherwise(F.col("k1")).alias("k1"), F.when(F.col("later"), F.lit(0)).otherwise(F.col("k2")).alias("k2")]
     dealt = found.select("id", "row", "unit", "later", *key)
     order = Window.partitionBy("k1", "k2", "later").orderBy(F.col("id").asc_nulls_last(), "row", "unit")

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordina.llm import mixing, quality
-from ordina.llm.common import fresh, materialise, named, table
+from ordina.llm.common import discard, fresh, materialise, named, table
 from ordina.llm.decontaminate import find_contamination
 from ordina.llm.near_dedup import near_duplicates
 from ordina.llm.substring_dedup import dedup_substrings
+from ordina.plans.scratch import scratch
 
 #: A document with a lower score is rejected.
 LEAST_QUALITY = 0.3
@@ -77,8 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written as Parquet and read again."""
+    """Applies the stages to documents; what each returns is written as Parquet and read again, and what it needed on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            then = keep(materialise(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = then
     return docs

@@ -25,8 +25,8 @@ from ordina.llm.common import discard, lower_words, materialise, named
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 #: Ids up to this many go to the scan as a broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rows on a side of a tile of a bucket: what a task holds at once of it.
-TILE = 256
+#: Bytes of signatures and shingle sets on a side of a tile of a bucket: what a task holds at once of it.
+TILE = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -151,16 +151,19 @@ def _confirm(cfg: MinHash) -> Callable:
     return run
 
 
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
 class Tile:
-    """Rows of one part of a bucket: those on its left side meet those on its right side."""
+    """Rows of one part of a bucket: those on its left side meet those on its right side. A bucket of one tile has rows on both."""
 
     def __init__(self, cfg: MinHash, cols: dict[str, list]) -> None:
         self.cfg, self.band, self.pivot = cfg, cols["band"][0], cols["pivot"][0]
         self.ids, self.comp, self.size = (np.array(cols[c], np.int64) for c in ("id", "comp", "n_shingles"))
-        self.major, left = np.array(cols["major"], bool), np.array(cols["side"]) == 0
+        self.major, side = np.array(cols["major"], bool), np.array(cols["side"])
         self.sig = np.frombuffer(b"".join(cols["sig"]), np.uint32).reshape(len(self.ids), -1)
         other = self.ids != self.pivot  # pairs with the pivot were looked at before
-        self.left, self.right = np.flatnonzero(left & other), np.flatnonzero(~left & other)
+        self.left, self.right = np.flatnonzero((side != RIGHT) & other), np.flatnonzero((side != LEFT) & other)
         self.least = cfg.percent / 100 - cfg.slack
 
     def near(self, p: int) -> np.ndarray:
@@ -295,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def bands() -> DataFrame:
         width = 4 * cfg.rows
         keys = F.array(*(F.xxhash64(F.lit(i), F.substring(F.col("sig"), i * width + 1, width)) for i in range(cfg.bands)))
-        return reps.select("rep", F.posexplode(keys).alias("band", "key"))
+        return reps.select("rep", "n_shingles", F.posexplode(keys).alias("band", "key"))
 
     # An id with several texts joins their classes.
     repeated = some.groupBy("id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1").select("id")
@@ -303,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bridged = ids.join(ids.groupBy("id").agg(F.min("rep").alias("v")), "id").select(F.col("rep").alias("u"), "v").where("u <> v")
 
     shared = bands().groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
-    buckets = materialise(bands().join(shared, "key").select("key", "band", "pivot", "rep"), "buckets")
+    buckets = materialise(bands().join(shared, "key").select("key", "band", "pivot", "rep", "n_shingles"), "buckets")
     stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     signed = stars.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
     likely = materialise(signed.select("a", "b", "sa", "sb").mapInArrow(agreement("a", "b", cfg.percent / 100 - cfg.slack), "a bigint, b bigint"), "likely")
@@ -313,22 +316,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets that still hold several components: all members meet those outside of the largest, in tiles.
     labelled = materialise(buckets.join(first.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
-    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    whole = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top")).where(F.col("size") > F.greatest(F.lit(2), F.col("top.n")))
+    held = F.sum(8 * F.col("n_shingles") + 4 * cfg.hashes)
+    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), held.alias("bytes"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "comp", "bytes")).alias("top")).where(F.col("size") > F.greatest(F.lit(2), F.col("top.n")))
     blocks = lambda n: F.ceil(n / TILE).cast("int")
-    whole = whole.select("key", F.col("top.comp").alias("top"), blocks(F.col("size") - F.col("top.n")).alias("is"), blocks(F.col("size")).alias("js"))
-    members = materialise(labelled.join(whole, "key").select("key", "band", "pivot", F.col("rep").alias("id"), "comp", (F.col("comp") == F.col("top")).alias("major"), "is", "js"), "open")
+    whole = whole.select("key", F.col("top.comp").alias("top"), blocks(F.col("bytes") - F.col("top.bytes")).alias("is"), blocks(F.col("bytes")).alias("js"))
+    members = materialise(labelled.join(whole, "key").select("key", "band", "pivot", F.col("rep").alias("id"), "n_shingles", "comp", (F.col("comp") == F.col("top")).alias("major"), "is", "js"), "open")
     final = first
     if not members.isEmpty():
         dealt = lambda side, n: F.pmod(F.xxhash64(F.lit(side), "id"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = members.where("not major").select("key", dealt(0, "is").alias("i"), each("js").alias("j"), F.lit(0).alias("side"), "id", "comp", "major", "band", "pivot")
-        right = members.select("key", each("is").alias("i"), dealt(1, "js").alias("j"), F.lit(1).alias("side"), "id", "comp", "major", "band", "pivot")
-        known = reps.select(F.col("rep").alias("id"), "sig", "n_shingles")
+        one = F.col("js") == 1
+        side = F.when(one & ~F.col("major"), BOTH).otherwise(RIGHT)
+        row = ["id", "n_shingles", "comp", "major", "band", "pivot"]
+        left = members.where(~one & ~F.col("major")).select("key", dealt(LEFT, "is").alias("i"), each("js").alias("j"), F.lit(LEFT).alias("side"), *row)
+        right = members.select("key", each("is").alias("i"), dealt(RIGHT, "js").alias("j"), side.alias("side"), *row)
+        known = reps.select(F.col("rep").alias("id"), "sig")
         tiled = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
         likely = materialise(tiled(left.unionAll(right).join(known, "id")).mapInArrow(_candidates(cfg), _TILE_SCHEMA), "candidates")
         sets = _shingle_sets(docs, id_col, text_col, likely.select("id").distinct(), cfg)
-        full = likely.join(known.select("id", "sig"), "id").join(sets, "id")
+        full = likely.join(known, "id").join(sets, "id")
         late = materialise(tiled(full).mapInArrow(_across(cfg), "u bigint, v bigint").distinct(), "late")
         discard(sets, likely)
         if not late.isEmpty():

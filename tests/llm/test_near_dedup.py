@@ -56,7 +56,7 @@ def test_equals_brute_force(spark, words, percent):
     assert run(spark, rows, MinHash(words=words, percent=percent)) == brute(rows, words, percent)
 
 
-@pytest.mark.parametrize("tile", [7, 256])
+@pytest.mark.parametrize("tile", [10_000, 16 << 20])
 def test_hot_group_of_near_copies(spark, monkeypatch, tile):
     """One group holds most rows; its members are similar to the hub more than to each other."""
     monkeypatch.setattr(near_dedup, "TILE", tile)
@@ -71,7 +71,7 @@ def test_hot_group_of_near_copies(spark, monkeypatch, tile):
     assert run(spark, rows, MinHash(words=3, percent=85)) == brute(rows, 3, 85)
 
 
-@pytest.mark.parametrize("tile", [5, 256])
+@pytest.mark.parametrize("tile", [6_000, 16 << 20])
 def test_bucket_of_many_components(spark, monkeypatch, tile):
     """Members of a hot bucket lie around the threshold, so that it holds many components and links far from its smallest id."""
     monkeypatch.setattr(near_dedup, "TILE", tile)

@@ -8,7 +8,7 @@ algorithm; expectation maximisation with the same sums fits the probabilities.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ PLAIN = 160
 #: Characters after which sums are rescaled, as the probabilities of words leave the range of doubles.
 STEP = 8
 #: Characters with padding whose sums are held at once when fitting; a single longer word is held whole.
-HELD = 800_000
+HELD = 200_000
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -84,7 +84,7 @@ class Lexicon:
             size += 1
         a = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
         order = np.lexsort((a[0], a[2]))
-        return tuple(x[order] for x in a)
+        return tuple(x[order].astype(np.int32) for x in a)
 
 
 def _sums(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,41 +189,41 @@ def fit(counts: dict[str, Counter], pieces: Iterable[str], rounds: int = 3, smoo
     languages = sorted(counts)
     words = sorted({w for c in counts.values() for w in c}, key=lambda w: (len(w), w))
     spelled = [START + w for w in words]
-    every = sorted(set(pieces))
-    used = [every[k - 1] for k in np.unique(Lexicon.of(every).arcs(spelled)[3]) if k]
-    lexicon = Lexicon.of(used)
-    size = len(used) + 1
-    a = lexicon.arcs(spelled)
     lengths = np.array([len(w) for w in spelled], np.int64)
-    seen = np.array([[counts[k].get(w, 0) for k in languages] for w in words], float).reshape(len(words), len(languages))
-
-    def summed(gamma: np.ndarray) -> np.ndarray:
-        expected = np.stack([np.bincount(a[3], gamma[:, k], size) for k in range(len(languages))], 1) if languages else np.zeros((size, 0))
-        return (expected + smooth) / (expected.sum(0) + smooth * size)
-
     parts, i = [], 0
-    while i < len(words):  # words by length
+    while i < len(words):  # words by length; a part bounds the tables of arcs and of prefix and suffix sums
         j = i + 1
         while j < len(words) and (j + 1 - i) * (lengths[j] + 1) <= HELD:
             j += 1
         parts.append((i, j))
         i = j
-    arcs = np.argsort(a[0], kind="stable")
-    begins = np.searchsorted(a[0][arcs], np.arange(len(words) + 1))
+    every = sorted(set(pieces))
+    lexicon, used = Lexicon.of(every), set()
+    for i, j in parts:
+        used.update(np.unique(lexicon.arcs(spelled[i:j])[3]).tolist())
+    used = [every[k - 1] for k in sorted(used) if k]
+    lexicon = Lexicon.of(used)
+    size = len(used) + 1
+    arcs = [lexicon.arcs(spelled[i:j]) for i, j in parts]
+    seen = np.array([[counts[k].get(w, 0) for k in languages] for w in words], float).reshape(len(words), len(languages))
 
-    p = summed(seen[a[0]])
-    for _ in range(rounds):
-        expected = np.zeros_like(p)
-        for i, j in parts:  # bounds the tables of prefix and suffix sums
-            some = arcs[begins[i] : begins[j]]
-            some = some[np.lexsort((a[0][some], a[2][some]))]
-            part, own = (a[0][some] - i, *(x[some] for x in a[1:])), lengths[i:j]
-            pa_ = p[part[3]]
-            f, b = forward(own, part, pa_), backward(own, part, pa_)
-            gamma = np.exp(f[part[0], part[1]] + b[part[0], part[2]] - f[np.arange(j - i), own][part[0]]) * pa_ * seen[i:j][part[0]]
+    def shares(weigh: Callable) -> np.ndarray:
+        """Smoothed shares of the pieces, by what each part's arcs weigh."""
+        expected = np.zeros((size, len(languages)))
+        for (i, j), a in zip(parts, arcs, strict=True):
+            gamma = weigh(i, j, a) * seen[i:j][a[0]]
             for k in range(len(languages)):
-                expected[:, k] += np.bincount(part[3], gamma[:, k], size)
-        p = (expected + smooth) / (expected.sum(0) + smooth * size)
+                expected[:, k] += np.bincount(a[3], gamma[:, k], size)
+        return (expected + smooth) / (expected.sum(0) + smooth * size)
+
+    def posterior(i: int, j: int, a: tuple[np.ndarray, ...]) -> np.ndarray:
+        own, q = lengths[i:j], p[a[3]]
+        f, b = forward(own, a, q), backward(own, a, q)
+        return np.exp(f[a[0], a[1]] + b[a[0], a[2]] - f[np.arange(j - i), own][a[0]]) * q
+
+    p = shares(lambda i, j, a: np.ones((len(a[0]), 1)))
+    for _ in range(rounds):
+        p = shares(posterior)
     return Unigrams(languages, {w: i for i, w in enumerate(used, 1)}, p, np.full(len(languages), 1 / max(1, len(languages))), lexicon)
 
 
@@ -255,8 +255,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     texts = some.join(F.broadcast(ids), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
     counted = texts.select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {lang: Counter() for (lang,) in ids.select("lang").distinct().collect()}
-    for r in counted.collect():
-        counts[r["lang"]][r["word"]] = r["n"]
+    for batch in counted.select("lang", "word", "n").toArrow().to_batches(1 << 16):
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[lang][word] = n
     return fit(counts, load_pieces(vocabulary))
 
 

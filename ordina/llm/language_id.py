@@ -31,6 +31,9 @@ STEP = 8
 #: Characters with padding whose sums are held at once when fitting; a single longer word is held whole.
 HELD = 200_000
 
+#: Parts of a language among which its sample is chosen first.
+SALTS = 16
+
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
     """The vocabulary's pieces as text, without control and byte pieces. Read on the driver only."""
@@ -250,8 +253,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     some = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
     some = some.where(fold_of("id", folds) != held_out)
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))  # limited before the shuffle
-    ids = some.select("lang", "id").withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "id").distinct()
+    ids = some.select("lang", "id", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SALTS)).alias("salt"))
+    for group in (["lang", "salt"], ["lang"]):  # limited in each task, then by salt, so that at most SALTS * sample ids of a language meet in a task
+        rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "id", "salt").distinct()
+    ids = ids.select("lang", "id")
     texts = some.join(F.broadcast(ids), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
     counted = texts.select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {lang: Counter() for (lang,) in ids.select("lang").distinct().collect()}

@@ -91,7 +91,7 @@ _SKETCH = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.i
 def _sketcher(cfg: MinHash) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = cfg.family()
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             n, k1, k2, sig = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), cfg.words)
@@ -128,8 +128,10 @@ def agreement(a: str, b: str, least: float) -> Callable:
 def _sets(cfg: MinHash) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), cfg.words).tobytes() for t in batch.column("text")]
-            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            for at in range(0, batch.num_rows, 128):  # sets are larger than texts
+                some = batch.slice(at, 128)
+                sets = [shingle_set(t.as_py(), cfg.words).tobytes() for t in some.column("text")]
+                yield pa.record_batch([some.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return run
 

@@ -24,6 +24,8 @@ from ordina.llm.common import fresh, named, row_key
 ENDS = (".", "!", "?", ",", ";", ":")
 #: Digests that a task remembers before it starts anew, in order to send a frequent one seldom; a bound on memory, without effect on results.
 MEMO = 200_000
+#: Rows that are held as Python objects at once; a bound on memory, without effect on results.
+PART = 512
 #: Added to the number of a line's first unit where the line as a whole is meant.
 LINE = 1 << 30
 
@@ -62,8 +64,8 @@ def _digests(whole_lines: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple] = {}
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):  # bounds what is held as Python objects
-                some = batch.slice(part, 512)
+            for part in range(0, batch.num_rows, PART):
+                some = batch.slice(part, PART)
                 ids, rows, unit, digest, later = [], [], [], [], []
                 for doc, row, text in zip(some.column("id").to_pylist(), some.column("row").to_pylist(), some.column("text").to_pylist(), strict=True):
                     for i, d in digests(text or ""):
@@ -137,7 +139,10 @@ def _remover(min_words: int) -> Callable:
         return {"text": "".join(kept) + text[at:], "n_units": len(own), "n_removed": len(gone), "spans": spans}
 
     def run(text: pa.Array, late: pa.Array) -> pa.Array:
-        return pa.array([one(t.as_py(), x.as_py()) for t, x in zip(text, late, strict=True)], kind)
+        parts = []
+        for at in range(0, len(text), PART):
+            parts.append(pa.array([one(t.as_py(), x.as_py()) for t, x in zip(text.slice(at, PART), late.slice(at, PART), strict=True)], kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return run
 
@@ -160,6 +165,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     late = repeated_units(docs, id_col, text_col, whole_lines).select(F.col("id").alias(i), F.col("row").alias(r), F.col("units").alias(u))
     keyed = docs.withColumn(k, row_key(id_col, text_col))
     cut = F.arrow_udf(_remover(min_words), "text string, n_units bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>")
+    cut = cut.asNondeterministic()  # else a filter on the outcome cuts each text a second time, in a second Python worker of the task
     joined = keyed.join(late, keyed[k].eqNullSafe(late[r]) & named(id_col).cast("bigint").eqNullSafe(late[i]), "left")
     out = joined.withColumn(u, cut(named(text_col), F.col(u)))
     keep = [F.col(u)["text"].alias(c) if c == text_col else named(c) for c in docs.columns]

@@ -1,5 +1,7 @@
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,22 @@ def test_whole_lines_go_however_short(spark):
     assert got[1].text == rows[0][1]
     assert got[2].text == "Another text, and end\nof its own" and got[2].dedup.n_removed == 2
     assert got[3].text == "more of it, share this page" and [(s.start, s.end) for s in got[3].dedup.spans] == [(0, 21)]
+
+
+def test_texts_are_cut_once_where_the_outcome_is_filtered_on(spark):
+    rows = [(1, "the same line"), (2, "the same line"), (3, "another")]
+    cut = dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), whole_lines=True)
+    left = cut.where(~((F.col("dedup.n_removed") > 0) & (F.trim("text") == ""))).select("doc_id", "text", "dedup.n_removed")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"ArrowEvalPython \[.*?\], \[(pythonUDF\d+#\d+)\]", plan))) == 1, plan
+    assert sorted(map(tuple, left.collect())) == [(1, "the same line", 0), (3, "another", 0)]
+
+
+@pytest.mark.parametrize("part", [1, 7])
+def test_part_has_no_effect(spark, monkeypatch, part):
+    monkeypatch.setattr(substring_dedup, "PART", part)
+    rows = [(i, f"line {i % 5}\nits own {i}") for i in range(40)] + [(None, None), (50, "")]
+    run = substring_dedup._remover(25)
+    got = {r.doc_id: r.text for r in dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), whole_lines=True).collect()}
+    assert got == {i: t if i is None or i < 5 or i == 50 else f"its own {i}" for i, t in rows}
+    assert len(run(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))) == 0
